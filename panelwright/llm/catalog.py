@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import line_dedup, mixing, quality_rules, token_counts
+from panelwright.llm import line_dedup, mixing, ngram_join, quality_rules, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -83,3 +83,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_token_counts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limit_table(token_counts.length_histogram(_read(spark, sf_dir, "documents")))
+
+
+@_query("op10_ngram_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_read(spark, sf_dir, "documents"))
