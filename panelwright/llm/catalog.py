@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import line_dedup, mixing, ngram_join, quality_rules, token_counts
+from panelwright.llm import decontamination, line_dedup, mixing, ngram_join, quality_rules, secret_scan, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -88,3 +88,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_ngram_join")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+@_query("op4_secret_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_read(spark, sf_dir, "documents"))
+
+
+@_query("op7_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+@_query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    chain, vocabulary = toxicity.fit(docs, _read(spark, sf_dir, "labels"), [("low_quality", F.col("quality") == 0), ("toxic", F.col("toxic") == 1)])
+    return toxicity.score(docs, chain, vocabulary).withColumn("toxic", F.col("p_toxic") >= 0.5)
