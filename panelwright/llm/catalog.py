@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontamination, line_dedup, mixing, ngram_join, quality_rules, secret_scan, token_counts, toxicity
+import corpus_pipeline
+from panelwright.llm import decontamination, html_extract, line_dedup, lm_scoring, mixing, ngram_join, quality_rules, secret_scan, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -105,3 +106,19 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     chain, vocabulary = toxicity.fit(docs, _read(spark, sf_dir, "labels"), [("low_quality", F.col("quality") == 0), ("toxic", F.col("toxic") == 1)])
     return toxicity.score(docs, chain, vocabulary).withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
+@_query("op5_lm_scoring")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, lm_scoring.fit(docs))
+
+
+@_query("op6_html_extraction")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_read(spark, sf_dir, "pages"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
