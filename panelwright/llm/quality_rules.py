@@ -81,8 +81,7 @@ def count_text(column: pa.Array) -> dict[str, np.ndarray]:
         c["n_repeat_words"] = per_row(covered, words.first)
 
         # Lines end at a newline or at the end of their row; only those with a word count.
-        breaks = np.flatnonzero(data == 10)
-        starts, ends = _line_spans(breaks, offsets)
+        starts, ends = _line_spans(data, offsets)
         inside = np.zeros(len(data) + 1, dtype=np.int64)
         np.cumsum(IS_WORD[data], out=inside[1:])
         worded = inside[ends] > inside[starts]
@@ -99,13 +98,14 @@ def count_text(column: pa.Array) -> dict[str, np.ndarray]:
     return {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, dtype=np.int64) for k in COUNTS}
 
 
-def _line_spans(breaks: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and end of each non-empty line: a begin goes with the first newline or row end at or after it."""
+def _line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each non-empty line: from a row's start or behind a newline to the next newline or row end."""
+    breaks = np.flatnonzero(data == 10)
     starts = np.unique(np.concatenate([breaks + 1, offsets[:-1]]))
-    starts = starts[starts < offsets[-1]]
+    starts = starts[starts < len(data)]
+    starts = starts[data[starts] != 10]
     limits = np.unique(np.concatenate([breaks, offsets[1:]]))
-    ends = limits[np.searchsorted(limits, starts)] if len(starts) else starts
-    return starts[ends > starts], ends[ends > starts]
+    return starts, limits[np.searchsorted(limits, starts, side="right")] if len(starts) else starts
 
 
 def document_counts(docs: DataFrame, *, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
