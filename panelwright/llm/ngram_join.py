@@ -13,10 +13,12 @@ The boundary between light and heavy minimises the number of subsets to
 enumerate plus the postings to scan, from the histogram of set sizes.  Pairs
 that pass the length and position filters are verified on the whole sets.
 
-Within a list the links wanted are those that connect components, so
-neighbours in size order are tried first; only pairs that are still in
-different components afterwards are enumerated.  Copies of one set are one node
-throughout.
+Within a list the links wanted are those that connect components.  So every
+member is first compared with the hub of its list, the member that most lists
+share (among edited copies of a text that is the one nearest to the original).
+Jaccard distance is a metric: afterwards only pairs in different components
+whose distances to the hub differ by no more than a link allows can still link,
+and only those are enumerated.  Copies of one set are one node throughout.
 """
 
 from __future__ import annotations
@@ -181,44 +183,39 @@ def _postings(light: int, frequent: np.ndarray):
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings sorted by key, size and set: those of keys that several sets share, with the set before each in its list."""
+    """From postings sorted by key and set: those of keys that several sets share, each set once a key."""
     names = ["key", "sid", "n", "place"]
     tail = {c: np.zeros(0, dtype=np.int64) for c in names}
-    last: dict[str, int] | None = None
-
-    def part(x: dict[str, np.ndarray], end: int, held: dict[str, int] | None) -> pa.RecordBatch:
-        before = {c: np.concatenate([[held[c] if held else 0], x[c][: end - 1]]) if end else x[c][:0] for c in names}
-        joined = before["key"] == x["key"][:end]
-        if end and not held:
-            joined[0] = False
-        follows = np.zeros(end, dtype=bool)
-        rest = x["key"][1 : end + 1]
-        follows[: len(rest)] = rest == x["key"][: len(rest)]
-        take = joined | follows
-        out = [pa.array(x[c][:end][take]) for c in names] + [pa.array(before[c][take], mask=~joined[take]) for c in names[1:]]
-        return pa.RecordBatch.from_arrays(out, names=[*names, "sid0", "n0", "place0"])
+    before: int | None = None
+
+    def part(x: dict[str, np.ndarray], end: int) -> pa.RecordBatch:
+        same = np.zeros(end + 1, dtype=bool)
+        same[1 : len(x["key"])] = x["key"][1 : end + 1] == x["key"][: len(x["key"]) - 1][:end]
+        take = same[:end] | same[1 : end + 1]
+        if end and before is not None and x["key"][0] == before:
+            take[0] = True
+        return pa.RecordBatch.from_arrays([pa.array(x[c][:end][take]) for c in names], names=names)
 
     for batch in batches:
         x = {c: np.concatenate([tail[c], batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)]) for k, c in enumerate(names)}
-        size = len(x["key"])
-        if not size:
+        if not len(x["key"]):
             continue
-        keep = np.ones(size, dtype=bool)
+        keep = np.ones(len(x["key"]), dtype=bool)
         keep[1:] = (x["key"][1:] != x["key"][:-1]) | (x["sid"][1:] != x["sid"][:-1])
         x = {c: v[keep] for c, v in x.items()}
         end = len(x["key"]) - 1
-        yield part(x, end, last)
+        yield part(x, end)
         if end:
-            last = {c: int(x[c][end - 1]) for c in names}
+            before = int(x["key"][end - 1])
         tail = {c: v[end:] for c, v in x.items()}
     if len(tail["key"]):
-        yield part(tail, 1, last)
+        yield part(tail, 1)
 
 
 def _possible(n0: str, place0: str, n: str, place: str):
-    """Length and position filters.  ``n0 <= n``.  At the first common shingle of a link both hold."""
+    """Length and position filters; at the first common shingle of a link both hold."""
     need = F.ceil(F.lit(PERCENT / 100.0) / F.lit(1 + PERCENT / 100.0) * (F.col(n0) + F.col(n)) - F.lit(1e-9))
-    return (F.lit(100) * F.col(n0) >= F.lit(PERCENT) * F.col(n)) & (F.least(F.col(n0) - F.col(place0), F.col(n) - F.col(place)) >= need)
+    return (F.lit(100) * F.least(n0, n) >= F.lit(PERCENT) * F.greatest(n0, n)) & (F.least(F.col(n0) - F.col(place0), F.col(n) - F.col(place)) >= need)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,27 +226,31 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(set_ids(grams, limits)), pa.array([raw[8 * a : 8 * b] for a, b in zip(limits[:-1], limits[1:], strict=True)], pa.binary())], names=["sid", "grams"])
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = []
+        common, union = [], []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
             small, large = (x, y) if len(x) <= len(y) else (y, x)
             place = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            common = int((large[place] == small).sum())
-            good.append(100 * common >= PERCENT * (len(x) + len(y) - common))
-        yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            common.append(int((large[place] == small).sum()))
+            union.append(len(x) + len(y) - common[-1])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "common", "all"])
 
 
 def _verify(docs: DataFrame, by_set: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` of set ids whose sets reach the threshold.  Sets are built anew from the text of one document each."""
+    """The pairs ``a, b`` of set ids with the sizes of intersection and union, ``common`` and ``all``.  Sets are built anew from the text of one document each."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     wanted = materialize(nodes.join(by_set, "sid").select(F.col("doc").alias("__doc")).distinct(), "join-wanted")
     text = docs.join(broadcast_if_small(wanted, _BROADCAST_IDS), F.col("doc_id") == F.col("__doc"), "left_semi").select("text")
     sets = text.mapInArrow(_sets, "sid long, grams binary").groupBy("sid").agg(F.first("grams").alias("grams"))
     left = pairs.join(sets.select(F.col("sid").alias("a"), F.col("grams").alias("x")), "a")
     both = left.join(sets.select(F.col("sid").alias("b"), F.col("grams").alias("y")), "b")
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), "join-links")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long, common long, all long"), "join-compared")
+
+
+def _links(compared: DataFrame) -> DataFrame:
+    return compared.where(F.lit(100) * F.col("common") >= F.lit(PERCENT) * F.col("all")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -278,25 +279,31 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     post = _postings(light, frequent)
     postings = docs.where("doc_id is not null").select("text").mapInArrow(post, "key long, sid long, n int, place int")
-    listed = postings.repartition("key").sortWithinPartitions("key", "n", "sid")
-    lists = materialize(listed.mapInArrow(_lists, "key long, sid long, n long, place long, sid0 long, n0 long, place0 long"), "join-lists")
-
-    pairs = lists.where(F.col("sid0").isNotNull() & _possible("n0", "place0", "n", "place"))
-    pairs = materialize(pairs.select(F.least("sid0", "sid").alias("a"), F.greatest("sid0", "sid").alias("b")).distinct(), "join-near")
-    links = _verify(docs, by_set, pairs)
+    listed = postings.repartition("key").sortWithinPartitions("key", "sid")
+    lists = materialize(listed.mapInArrow(_lists, "key long, sid long, n long, place long"), "join-lists")
+
+    shared = lists.groupBy("sid").agg(F.count(F.lit(1)).alias("lists"))
+    hubs = lists.join(shared, "sid").groupBy("key").agg(F.max(F.struct("lists", "sid", "n", "place")).alias("h"))
+    hubs = materialize(hubs.select("key", F.col("h.sid").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.place").alias("hub_place")), "join-hubs")
+    near = lists.join(hubs, "key").where((F.col("sid") != F.col("hub")) & _possible("hub_n", "hub_place", "n", "place"))
+    pairs = materialize(near.select(F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b")).distinct(), "join-near")
+    compared = _verify(docs, by_set, pairs)
+    links = _links(compared)
     roots = components(links)
 
     hung = lists.join(broadcast_if_small(roots, _BROADCAST_IDS), F.col("sid") == F.col("node"), "left").select("key", "sid", "n", "place", F.coalesce("root", "sid").alias("root"))
     mixed = hung.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("sid", "place")).alias("x")).where("lo <> hi")
     # Lists with the same members at the same places say the same; one of them is enough.
-    open_lists = mixed.groupBy("k", "x", "lo", "hi").agg(F.min("key").alias("key")).select("key")
-    members = materialize(hung.join(open_lists, "key", "left_semi"), "join-open")
-    other = members.select("key", *[F.col(c).alias(f"{c}0") for c in ("sid", "n", "place", "root")])
-    ordered = (F.col("n0") < F.col("n")) | ((F.col("n0") == F.col("n")) & (F.col("sid0") < F.col("sid")))
-    open_pairs = other.join(members, "key").where((F.col("root0") != F.col("root")) & ordered & _possible("n0", "place0", "n", "place"))
-    open_pairs = materialize(open_pairs.select(F.least("sid0", "sid").alias("a"), F.greatest("sid0", "sid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "join-rest")
+    open_lists = mixed.groupBy("k", "x", "lo", "hi").agg(F.min("key").alias("key")).select("key").join(hubs.select("key", "hub"), "key")
+    distance = compared.select("a", "b", (F.lit(1.0) - F.col("common") / F.col("all")).alias("d"))
+    members = hung.join(open_lists, "key").withColumns({"a": F.least("hub", "sid"), "b": F.greatest("hub", "sid")}).join(distance, ["a", "b"], "left")
+    members = materialize(members.select("key", "sid", "n", "place", "root", F.when(F.col("sid") == F.col("hub"), 0.0).otherwise(F.col("d")).alias("d")), "join-open")
+    other = members.select("key", *[F.col(c).alias(f"{c}0") for c in ("sid", "n", "place", "root", "d")])
+    reach = F.coalesce(F.abs(F.col("d0") - F.col("d")) <= F.lit(1 - PERCENT / 100 + 1e-9), F.lit(True))
+    open_pairs = other.join(members, "key").where((F.col("root0") != F.col("root")) & (F.col("sid0") < F.col("sid")) & _possible("n0", "place0", "n", "place") & reach)
+    open_pairs = materialize(open_pairs.select(F.col("sid0").alias("a"), F.col("sid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "join-rest")
     if not open_pairs.isEmpty():
-        more = _verify(docs, by_set, open_pairs)
+        more = _links(_verify(docs, by_set, open_pairs))
         if not more.isEmpty():
             roots = components(links.unionByName(more))
 
