@@ -16,9 +16,12 @@ that pass the length and position filters are verified on the whole sets.
 Within a list the links wanted are those that connect components.  So every
 member is first compared with the hub of its list, the member that most lists
 share (among edited copies of a text that is the one nearest to the original).
-Jaccard distance is a metric: afterwards only pairs in different components
-whose distances to the hub differ by no more than a link allows can still link,
-and only those are enumerated.  Copies of one set are one node throughout.
+Lists whose members are then still in different components are scanned.
+
+Before whole sets are fetched, a pair must pass a bound on its sketches: bit k
+of a sketch is the parity of the shingles whose hash ends in k, so the bits in
+which two sketches differ are a lower bound of the shingles in which the sets
+do.  The bound never rejects a link.  Copies of one set are one node throughout.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ LIGHT_MAX = 64
 #: Frequent shingles moved to the end of the order.  Any choice of them gives the same links; it only affects how long lists get.
 FREQUENT_MAX, FREQUENT_MIN = 200_000, 8
 _COUNT_SLAB = 4_000_000
+#: Members up to which lists are scanned together.
+SHORT = 48
 _BROADCAST_IDS = 1_000_000
 
 
@@ -85,12 +90,34 @@ def set_ids(grams: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return mix(total[limits[1:]] - total[limits[:-1]] + np.diff(limits).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def sketch_bits(n: int) -> int:
+    """Bits of the sketch of a set of ``n`` shingles: the power of two from ``2 n`` on."""
+    return 1 << max(6, (2 * n - 1).bit_length())
+
+
+def sketch(grams: np.ndarray) -> bytes:
+    bits = sketch_bits(len(grams))
+    odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def fold(words: np.ndarray) -> np.ndarray:
+    """Sketches (rows of 64-bit words) at half their bits."""
+    half = words.shape[1] // 2
+    return words[:, :half] ^ words[:, half:]
+
+
+def allowed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Most shingles in which linked sets of sizes ``a`` and ``b`` can differ."""
+    return a + b - 2 * -(-PERCENT * (a + b) // (100 + PERCENT))
+
+
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``kind 0``: id, set id, size.  Rows ``kind 1``: shingle, sets of this task that hold it, for shingles that several hold."""
+    """Rows ``kind 0``: id, set id, size, and for the first of a set its sketch.  Rows ``kind 1``: shingle, sets of this task that hold it, for shingles that several hold."""
     seen: set[int] = set()
     held: list[np.ndarray] = []
 
@@ -98,7 +125,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
         gram, n = gram[n >= 4], n[n >= 4]
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), dtype=np.int8)), _long(gram), _long(n), pa.nulls(len(n), pa.int64())], names=["kind", "a", "b", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), dtype=np.int8)), _long(gram), _long(n), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], names=["kind", "a", "b", "c", "sketch"])
 
     for batch in batches:
         for a, b, data, offsets in slices(batch.column(1)):
@@ -111,7 +138,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen.add(x)
                     fresh[k] = True
             held.append(grams[np.repeat(fresh, sizes)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, dtype=np.int8)), batch.column(0).slice(a, b - a), pa.array(ids, mask=sizes == 0), _long(sizes)], names=["kind", "a", "b", "c"])
+            drawn = [sketch(grams[limits[k] : limits[k + 1]]) if fresh[k] and sizes[k] else None for k in range(b - a)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, dtype=np.int8)), batch.column(0).slice(a, b - a), pa.array(ids, mask=sizes == 0), _long(sizes), pa.array(drawn, pa.binary())], names=["kind", "a", "b", "c", "sketch"])
             if sum(map(len, held)) >= _COUNT_SLAB:
                 yield frequent()
     yield frequent()
@@ -226,31 +254,141 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(set_ids(grams, limits)), pa.array([raw[8 * a : 8 * b] for a, b in zip(limits[:-1], limits[1:], strict=True)], pa.binary())], names=["sid", "grams"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        common, union = [], []
+        good = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
             small, large = (x, y) if len(x) <= len(y) else (y, x)
             place = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            common.append(int((large[place] == small).sum()))
-            union.append(len(x) + len(y) - common[-1])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "common", "all"])
+            common = int((large[place] == small).sum())
+            good.append(100 * common >= PERCENT * (len(x) + len(y) - common))
+        yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs ``a, b, n of a, n of b, sketch of a, sketch of b`` those whose sketches allow a link."""
+    for batch in batches:
+        n = [batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3)]
+        limit = allowed(*n)
+        good = []
+        for k, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+            x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64)[None, :] for v in (x, y))
+            while x.shape[1] > y.shape[1]:
+                x = fold(x)
+            while y.shape[1] > x.shape[1]:
+                y = fold(y)
+            good.append(int(np.bitwise_count(x ^ y).sum()) <= limit[k])
+        yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+
+def scan_list(sid: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of one list that are in different components and pass the length, position and sketch bounds.
+
+    Members are taken in order of size; each looks back only at those large
+    enough, whose sketches are compared in one go.
+    """
+    order = np.argsort(n, kind="stable")
+    sid, n, place, root = sid[order], n[order], place[order], root[order]
+    width = np.array([sketch_bits(int(x)) // 64 for x in n])
+    by_width = {int(w): np.stack([np.frombuffer(sketches[order[k]], dtype=np.uint64) for k in np.flatnonzero(width == w)]) for w in np.unique(width)}
+    first = {w: int(np.searchsorted(width, w)) for w in by_width}
+    left, right = [], []
+    low = np.searchsorted(n, required(n))
+    for k in range(1, len(n)):
+        for w, words in by_width.items():
+            a, b = max(int(low[k]), first[w]), min(k, first[w] + len(words))
+            if a >= b:
+                continue
+            own = by_width[int(width[k])][k - first[int(width[k])]][None, :]
+            while own.shape[1] > w:
+                own = fold(own)
+            need = -(-PERCENT * (n[a:b] + n[k]) // (100 + PERCENT))
+            good = (root[a:b] != root[k]) & (np.minimum(n[a:b] - place[a:b], n[k] - place[k]) >= need)
+            good[good] = np.bitwise_count(words[a - first[w] : b - first[w]][good] ^ own).sum(axis=1) <= allowed(n[a:b], n[k])[good]
+            hit = np.flatnonzero(good) + a
+            left.append(sid[hit])
+            right.append(np.full(len(hit), sid[k]))
+    if not left:
+        return sid[:0], sid[:0]
+    a, b = np.concatenate(left), np.concatenate(right)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def scan_short(key: np.ndarray, sid: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many lists of at most ``SHORT`` members at once: members are compared with the d-th after them for each d."""
+    left, right = [], []
+    for d in range(1, SHORT):
+        i = np.flatnonzero(key[d:] == key[:-d]) if d < len(key) else np.zeros(0, dtype=np.int64)
+        if not len(i):
+            break
+        j = i + d
+        total = n[i] + n[j]
+        good = (root[i] != root[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+        good &= np.minimum(n[i] - place[i], n[j] - place[j]) >= -(-PERCENT * total // (100 + PERCENT))
+        left.append(i[good])
+        right.append(j[good])
+    if not left:
+        return sid[:0], sid[:0]
+    i, j = np.concatenate(left), np.concatenate(right)
+    pair = np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], axis=1)
+    _, once = np.unique(pair, axis=0, return_index=True) if len(pair) else (None, np.zeros(0, dtype=np.int64))
+    pair, i, j = pair[once], i[once], j[once]
+    limit = allowed(n[i], n[j])
+    width = lambda k: np.array([len(sketches[x]) // 8 for x in k], dtype=np.int64)
+    wi, wj = width(i), width(j)
+    good = np.zeros(len(i), dtype=bool)
+    for a, b in {(int(x), int(y)) for x, y in zip(wi, wj, strict=True)}:
+        at = np.flatnonzero((wi == a) & (wj == b))
+        x, y = (np.frombuffer(b"".join(sketches[k] for k in side[at]), dtype=np.uint64).reshape(len(at), w) for side, w in ((i, a), (j, b)))
+        while x.shape[1] > y.shape[1]:
+            x = fold(x)
+        while y.shape[1] > x.shape[1]:
+            y = fold(y)
+        good[at] = np.bitwise_count(x ^ y).sum(axis=1) <= limit[at]
+    return pair[good, 0], pair[good, 1]
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``key, sid, n, place, root, sketch`` sorted by key to candidate pairs, each at most once a batch of lists."""
+    held: list[pa.RecordBatch] = []
+
+    def lists(whole: pa.Table) -> pa.RecordBatch:
+        key = whole.column(0).to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        cols = [whole.column(k).to_numpy() for k in range(1, 5)]
+        raw = whole.column(5).to_pylist()
+        long = np.flatnonzero(np.diff(cuts) > SHORT)
+        found = [scan_list(*(c[cuts[k] : cuts[k + 1]] for c in cols), raw[cuts[k] : cuts[k + 1]]) for k in long]
+        short = np.flatnonzero(~np.repeat(np.isin(np.arange(len(cuts) - 1), long), np.diff(cuts)))
+        found.append(scan_short(key[short], *(c[short] for c in cols), [raw[k] for k in short]))
+        pairs = np.unique(np.stack([np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        last = batch.column(0)[batch.num_rows - 1].as_py()
+        if held[0].column(0)[0].as_py() == last:
+            continue
+        whole = pa.Table.from_batches(held)
+        end = int(np.searchsorted(whole.column(0).to_numpy(), last))
+        yield lists(whole.slice(0, end))
+        held = whole.slice(end).combine_chunks().to_batches()
+    if held:
+        yield lists(pa.Table.from_batches(held))
 
 
 def _verify(docs: DataFrame, by_set: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` of set ids with the sizes of intersection and union, ``common`` and ``all``.  Sets are built anew from the text of one document each."""
+    """The pairs ``a, b`` of set ids whose sets reach the threshold.  Sets are built anew from the text of one document each."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    wanted = materialize(nodes.join(by_set, "sid").select(F.col("doc").alias("__doc")).distinct(), "join-wanted")
+    wanted = materialize(nodes.join(by_set.select("sid", "doc"), "sid").select(F.col("doc").alias("__doc")).distinct(), "join-wanted")
     text = docs.join(broadcast_if_small(wanted, _BROADCAST_IDS), F.col("doc_id") == F.col("__doc"), "left_semi").select("text")
     sets = text.mapInArrow(_sets, "sid long, grams binary").groupBy("sid").agg(F.first("grams").alias("grams"))
     left = pairs.join(sets.select(F.col("sid").alias("a"), F.col("grams").alias("x")), "a")
     both = left.join(sets.select(F.col("sid").alias("b"), F.col("grams").alias("y")), "b")
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long, common long, all long"), "join-compared")
-
-
-def _links(compared: DataFrame) -> DataFrame:
-    return compared.where(F.lit(100) * F.col("common") >= F.lit(PERCENT) * F.col("all")).select("a", "b")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), "join-links")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -265,10 +403,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     columns are ignored.  An empty table gives an empty result.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    described = materialize(docs.mapInArrow(_describe, "kind byte, a long, b long, c long"), "join-sets")
-    rows = described.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sid"), F.col("c").alias("n_shingles"))
+    described = materialize(docs.mapInArrow(_describe, "kind byte, a long, b long, c long, sketch binary"), "join-sets")
+    rows = described.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sid"), F.col("c").alias("n_shingles"), "sketch")
     known = rows.where("doc_id is not null and n_shingles > 0")
-    by_set = materialize(known.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n")), "join-distinct")
+    by_set = materialize(known.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")), "join-distinct")
 
     counted = described.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= FREQUENT_MIN).orderBy(F.desc("n"), "a").limit(FREQUENT_MAX).toPandas()
     frequent = np.sort(counted["a"].to_numpy(dtype=np.int64).view(np.uint64))
@@ -286,24 +424,22 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     hubs = lists.join(shared, "sid").groupBy("key").agg(F.max(F.struct("lists", "sid", "n", "place")).alias("h"))
     hubs = materialize(hubs.select("key", F.col("h.sid").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.place").alias("hub_place")), "join-hubs")
     near = lists.join(hubs, "key").where((F.col("sid") != F.col("hub")) & _possible("hub_n", "hub_place", "n", "place"))
-    pairs = materialize(near.select(F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b")).distinct(), "join-near")
-    compared = _verify(docs, by_set, pairs)
-    links = _links(compared)
+    pairs = near.select(F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b")).distinct()
+    side = lambda c: by_set.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    drawn = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    pairs = materialize(drawn.mapInArrow(_near, "a long, b long"), "join-near")
+    links = _verify(docs, by_set, pairs)
     roots = components(links)
 
     hung = lists.join(broadcast_if_small(roots, _BROADCAST_IDS), F.col("sid") == F.col("node"), "left").select("key", "sid", "n", "place", F.coalesce("root", "sid").alias("root"))
     mixed = hung.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("sid", "place")).alias("x")).where("lo <> hi")
     # Lists with the same members at the same places say the same; one of them is enough.
-    open_lists = mixed.groupBy("k", "x", "lo", "hi").agg(F.min("key").alias("key")).select("key").join(hubs.select("key", "hub"), "key")
-    distance = compared.select("a", "b", (F.lit(1.0) - F.col("common") / F.col("all")).alias("d"))
-    members = hung.join(open_lists, "key").withColumns({"a": F.least("hub", "sid"), "b": F.greatest("hub", "sid")}).join(distance, ["a", "b"], "left")
-    members = materialize(members.select("key", "sid", "n", "place", "root", F.when(F.col("sid") == F.col("hub"), 0.0).otherwise(F.col("d")).alias("d")), "join-open")
-    other = members.select("key", *[F.col(c).alias(f"{c}0") for c in ("sid", "n", "place", "root", "d")])
-    reach = F.coalesce(F.abs(F.col("d0") - F.col("d")) <= F.lit(1 - PERCENT / 100 + 1e-9), F.lit(True))
-    open_pairs = other.join(members, "key").where((F.col("root0") != F.col("root")) & (F.col("sid0") < F.col("sid")) & _possible("n0", "place0", "n", "place") & reach)
-    open_pairs = materialize(open_pairs.select(F.col("sid0").alias("a"), F.col("sid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "join-rest")
-    if not open_pairs.isEmpty():
-        more = _links(_verify(docs, by_set, open_pairs))
+    open_lists = mixed.groupBy("k", "x", "lo", "hi").agg(F.min("key").alias("key")).select("key")
+    members = hung.join(open_lists, "key").join(by_set.select("sid", "sketch"), "sid").select("key", "sid", "n", "place", "root", "sketch")
+    rest = members.repartition("key").sortWithinPartitions("key").mapInArrow(_scan, "a long, b long").distinct()
+    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "join-rest")
+    if not rest.isEmpty():
+        more = _verify(docs, by_set, rest)
         if not more.isEmpty():
             roots = components(links.unionByName(more))
 
