@@ -23,7 +23,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 PX = """
 px AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS time, l_suppkey AS instrument, min(l_extendedprice) AS open,
-  sum(l_extendedprice) / sum(l_quantity) AS close, sum(l_quantity) AS adv, round(avg(l_discount), 6) AS signal FROM lineitem GROUP BY 1, 2),
+  sum(l_extendedprice) / sum(l_quantity) AS close, sum(l_quantity) AS adv, round(avg(l_discount), 9) AS signal FROM lineitem GROUP BY 1, 2),
 sector AS (SELECT s_suppkey AS instrument, r_name AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 lab AS (SELECT time AS observation_time, instrument, lead(close, 1) OVER w / close - 1 AS r1, lead(close, 3) OVER w / close - 1 AS r3, lead(time, 1) OVER w AS e1, lead(time, 3) OVER w AS e3 FROM px WINDOW w AS (PARTITION BY instrument ORDER BY time)),
 labels AS (SELECT observation_time, instrument, '1D' AS horizon, r1 AS forward_return, e1 AS label_end FROM lab WHERE r1 IS NOT NULL
@@ -177,7 +177,7 @@ query(
     "bucketize_split",
     """WITH b AS (SELECT time, instrument, CAST(signal >= 0.05 AS INT) AS side, signal FROM px),
 p AS (SELECT time, instrument, side, count(*) OVER (PARTITION BY time, side) AS n, (row_number() OVER (PARTITION BY time, side ORDER BY signal, instrument) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY time, side) AS pos FROM b)
-SELECT time, instrument, CASE WHEN side = 0 AND n >= 2 THEN 1 + CAST(pos >= CAST(0.5 AS DOUBLE) AS INT) WHEN side = 1 AND n >= 2 THEN 3 + CAST(pos >= CAST(0.5 AS DOUBLE) AS INT) END AS bucket FROM p""",
+SELECT time, instrument, CASE WHEN side = 0 AND n >= 2 THEN 1 + CAST(pos >= CAST(0.5 AS DOUBLE) AS INT) WHEN side = 1 AND n >= 2 THEN 3 + CAST(pos >= CAST(0.5 AS DOUBLE) AS INT) END AS bucket FROM p WHERE n >= 2""",
 )(_bucket(BucketSpec.quantiles(4, split_at=0.05)))
 
 BUCKETED = f"bk AS (SELECT time, horizon, instrument, y, CASE WHEN count(*) OVER (PARTITION BY time, horizon) >= 5 THEN {_positions('(row_number() OVER (PARTITION BY time, horizon ORDER BY x, instrument) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY time, horizon)', FIFTHS)} END AS bucket, x FROM panel), per AS (SELECT time, horizon, bucket, avg(y) AS mean_return, median(y) AS median_return, count(*) AS n FROM bk WHERE bucket IS NOT NULL GROUP BY ALL), spr AS (SELECT time, horizon, max(mean_return) FILTER (bucket = 5) - max(mean_return) FILTER (bucket = 1) AS spread FROM per GROUP BY ALL)"
@@ -240,7 +240,7 @@ def _(spark, sf_dir):
     return transform.single_exposure_frame(monthly(spark, sf_dir), by=["time"], exposure="adv").select("time", "instrument", "residual")
 
 
-@query("neutralize_group_demean", f"SELECT px.time, px.instrument, {r('signal - avg(signal) OVER (PARTITION BY px.time, sector)')} AS residual FROM px JOIN sector ON px.instrument = sector.instrument")
+@query("neutralize_group_demean", f"SELECT px.time, px.instrument, {r('signal - avg(signal) OVER (PARTITION BY px.time, sector)', 12)} AS residual FROM px JOIN sector ON px.instrument = sector.instrument", places=12)
 def _(spark, sf_dir):
     df = monthly(spark, sf_dir).join(regions(spark, sf_dir), "instrument")
     return transform.demean_frame(df, by=["time"], categories=["sector"]).select("time", "instrument", "residual")
@@ -462,9 +462,9 @@ MODELS = (costs.CommissionModel(fixed=1.0, bps=5.0, minimum=2.0), costs.SpreadMo
     "cost_models",
     f"""WITH {TR}, c AS (SELECT instrument, CASE WHEN q = 0 THEN 0.0 ELSE greatest(1.0 + 5.0 / 1e4 * v, 2.0) END AS a, v * 8.0 / 1e4 * 0.5 AS b, 0.01 * q + 2.0 / 1e4 * v AS c, v * 0.1 * volatility AS d,
  v * least(0.5 * volatility * pow(q / adv, 0.7), 0.02) AS e, v * 0.3 * volatility * sqrt(q / adv) AS f, CASE WHEN side = 'sell' THEN v * borrow_rate * holding_days / 365.0 ELSE 0.0 END AS g FROM ok)
-SELECT instrument, count(*) AS n, {r('sum(a)', 3)} AS commission, {r('sum(b)', 3)} AS spread, {r('sum(c)', 3)} AS slippage, {r('sum(d)', 3)} AS volatility_slippage, {r('sum(e)', 3)} AS participation_impact, {r('sum(f)', 3)} AS square_root_impact, {r('sum(g)', 3)} AS borrow, count(g) AS known FROM c GROUP BY instrument""",
+SELECT instrument, count(*) AS n, {r('sum(a)', 1)} AS commission, {r('sum(b)', 1)} AS spread, {r('sum(c)', 1)} AS slippage, {r('sum(d)', 1)} AS volatility_slippage, {r('sum(e)', 1)} AS participation_impact, {r('sum(f)', 1)} AS square_root_impact, {r('sum(g)', 1)} AS borrow, count(g) AS known FROM c GROUP BY instrument""",
     with_panel=False,
-    places=3,
+    places=1,
 )
 def _(spark, sf_dir):
     t = costs.cost_frame(valid_trades(spark, sf_dir), MODELS)
@@ -500,10 +500,10 @@ def _(spark, sf_dir):
 
 
 def _series(spark, sf_dir) -> DataFrame:
-    return monthly(spark, sf_dir).groupBy("time").agg(F.round(F.avg("close"), 4).alias("value"), F.round(F.avg("signal") - F.lit(0.05), 6).alias("outcome"))
+    return monthly(spark, sf_dir).groupBy("time").agg(F.round(F.avg("close"), 4).alias("value"), F.round(F.avg("signal") - F.lit(0.05), 12).alias("outcome"))
 
 
-SER = "ser AS (SELECT time, round(avg(close), 4) AS value, round(avg(signal) - 0.05::DOUBLE, 6) AS outcome FROM px GROUP BY time)"
+SER = "ser AS (SELECT time, round(avg(close), 4) AS value, round(avg(signal) - 0.05::DOUBLE, 12) AS outcome FROM px GROUP BY time)"
 
 
 def _quantile_sql(frame: str) -> str:
@@ -523,7 +523,7 @@ query("regime_expanding", _quantile_sql("UNBOUNDED") + _OUT)(_regimes("expanding
 query("regime_rolling", _quantile_sql("24") + _OUT)(_regimes("rolling", 24))
 
 
-@query("regime_summary", _quantile_sql("UNBOUNDED") + f", c AS (SELECT *, sum(outcome) OVER (PARTITION BY regime ORDER BY time ROWS UNBOUNDED PRECEDING) AS cum, lag(outcome) OVER (PARTITION BY regime ORDER BY time) AS prev FROM g), d AS (SELECT *, cum - greatest(0.0, max(cum) OVER (PARTITION BY regime ORDER BY time ROWS UNBOUNDED PRECEDING)) AS down FROM c), s AS (SELECT regime, count(*) AS valid_count, avg(outcome) AS mean, stddev_samp(outcome) AS std, sum(outcome) AS total, sum(abs(outcome)) AS absolute_total, min(down) AS max_drawdown FROM d GROUP BY regime) SELECT regime, valid_count, {r('mean')} AS mean, {r('std')} AS std, {r('total')} AS total, {r('max_drawdown')} AS max_drawdown, {r('absolute_total / sum(absolute_total) OVER ()')} AS absolute_share, {r('sum(total) OVER () - total')} AS leave_one_out_total FROM s")
+@query("regime_summary", _quantile_sql("UNBOUNDED") + f", c AS (SELECT *, sum(outcome) OVER (PARTITION BY regime ORDER BY time ROWS UNBOUNDED PRECEDING) AS cum, lag(outcome) OVER (PARTITION BY regime ORDER BY time) AS prev FROM g), d AS (SELECT *, cum - greatest(0.0, max(cum) OVER (PARTITION BY regime ORDER BY time ROWS UNBOUNDED PRECEDING)) AS down FROM c), s AS (SELECT regime, count(*) AS valid_count, avg(outcome) AS mean, stddev_samp(outcome) AS std, sum(outcome) AS total, sum(abs(outcome)) AS absolute_total, min(down) AS max_drawdown FROM d GROUP BY regime) SELECT regime, valid_count, {r('mean', 9)} AS mean, {r('std', 9)} AS std, {r('total', 9)} AS total, {r('max_drawdown', 9)} AS max_drawdown, {r('absolute_total / sum(absolute_total) OVER ()', 9)} AS absolute_share, {r('sum(total) OVER () - total', 9)} AS leave_one_out_total FROM s", places=9)
 def _(spark, sf_dir):
     f = regime.label_frame(regime.threshold_frame(_series(spark, sf_dir), method="expanding", lower=0.33, upper=0.67, min_history=12))
     return regime.analysis_frame(f).select("regime", "valid_count", "mean", "std", "total", "max_drawdown", "absolute_share", "leave_one_out_total")

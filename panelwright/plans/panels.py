@@ -23,7 +23,7 @@ def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.min("l_extendedprice").alias("open"),
             (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"),
             F.sum("l_quantity").alias("adv"),
-            F.round(F.avg("l_discount"), 6).alias("signal"),
+            F.round(F.avg("l_discount"), 9).alias("signal"),
         )
     )
 
