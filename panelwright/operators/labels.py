@@ -48,7 +48,7 @@ def label_frame(prices: DataFrame, *, horizons: Sequence[int | str] | int | str,
     return long.select("observation_time", F.col("observation_time").alias("label_start"), "entry_time", F.col("e.label_end").alias("label_end"), "instrument", F.col("e.horizon").alias("horizon"), F.when(F.col("bought").isNotNull(), F.col("e.forward_return")).alias("forward_return"))
 
 
-def forward_returns(prices: DataFrame, *, horizons: Sequence[int | str] | int | str = (1,), time: str = "time", instrument: str = "instrument", price: str = "close", signal_time: str = "close", entry: str | None = "next_close", price_adjustment: str | None = None, delisting_return: str | None = None, missing: str = "drop", allow_same_close: bool = False) -> FrameResult:
+def forward_returns(prices: DataFrame, *, horizons: Sequence[int | str] | int | str = (5,), time: str = "time", instrument: str = "instrument", price: str = "close", signal_time: str = "close", entry: str | None = "next_close", price_adjustment: str | None = None, delisting_return: str | None = None, missing: str = "drop", allow_same_close: bool = False) -> FrameResult:
     """``exit[t + h] / entry[t + lag] - 1`` per instrument; rows without a boundary are censored and counted."""
     if entry not in ENTRIES:
         raise MethodContractError(f"entry must be one of {sorted(k for k in ENTRIES if k)}")
