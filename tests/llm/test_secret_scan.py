@@ -1,0 +1,56 @@
+import base64
+import hashlib
+import json
+import re
+
+from panelwright.llm import secret_scan as S
+
+
+def der(tag, body):
+    n = len(body)
+    head = bytes([n]) if n < 128 else bytes([0x80 + len(size := n.to_bytes((n.bit_length() + 7) // 8, "big"))]) + size
+    return bytes([tag]) + head + body
+
+
+KEY = der(0x30, b"".join(der(2, bytes([k + 1]) * 40) for k in range(5)))
+SSH = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", b"k" * 32))
+TOKEN = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (json.dumps({"alg": "HS256", "typ": "JWT"}).encode(), b'{"sub":"1"}', b"s" * 20))
+
+
+def kinds(text):
+    return [s.split(":")[0] for s in S.scan_text(text)[4].split(",") if s]
+
+
+def test_base_contract():
+    text = 'x Api_Key = "abc" token: abcdef é password=\'s3cret-value\' AKIA' + "B" * 16 + " AKIASHORT " + "0a" * 12 + " " + "f" * 23
+    n1, n2, n3, digest, spans = S.scan_text(text)
+    a = [(m.start(), m.end()) for m in re.finditer(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 6]
+    assert (n1, n2, n3) == (len(a), 1, 1) == (2, 1, 1)
+    at, hx = text.index("AKIAB"), text.index("0a0a")
+    want = sorted([(x, y, "assign") for x, y in a] + [(at, at + 20, "access"), (hx, hx + 24, "hex")])
+    assert digest == hashlib.sha256(",".join(f"{k}:{x}:{y}" for x, y, k in want).encode()).hexdigest()
+    assert spans == ",".join(f"{k}:{x}:{y}" for x, y, k in want)
+
+
+def test_a_dropped_match_still_consumes():
+    assert S.scan_text('token="token: abcdefgh')[0] == 0 and S.scan_text("tokeN: abcdefgh")[0] == 1 and S.scan_text("to\u212aen: abcdefgh")[0] == 0
+
+
+def test_structures_are_confirmed_not_guessed():
+    b64 = base64.b64encode(KEY).decode()
+    assert kinds(f"see {b64} end") == ["der"] and kinds(KEY.hex()) == ["hex", "der"] and kinds(base64.b64encode(SSH).decode()) == ["ssh"]
+    assert kinds(f"-----BEGIN PRIVATE KEY-----\n{b64[:64]}\n{b64[64:]}\n-----END PRIVATE KEY-----")[0] == "pem"
+    assert kinds(f"auth {TOKEN}") == ["token"]
+    broken = bytearray(KEY)
+    broken[3] += 1
+    assert kinds(base64.b64encode(bytes(broken)).decode()) == [] and kinds("-----BEGIN PRIVATE KEY-----\nnothing\n-----END PRIVATE KEY-----") == []
+    assert kinds("eyJhYmMiOjF9.eyJhIjoxfQ.sig") == [] and kinds("A" * 64) == [] and kinds("0" * 64) == ["hex"]
+
+
+def test_rows(docs):
+    rows = [(1, None, "s"), (2, "", "s"), (None, f"é {TOKEN}", "s"), (3, "token = abcdef", "s"), (3, "token = abcdef", "s"), (4, "é" * 5000 + " secret: 12345678", "s")]
+    got = S.scan(docs(rows, extra=("spans", "n_hex"))).collect()
+    empty = hashlib.sha256(b"").hexdigest()
+    assert [(r.doc_id, r.n_assign, r.base_sha256 == empty) for r in got] == [(1, 0, True), (2, 0, True), (None, 0, True), (3, 1, False), (3, 1, False), (4, 1, False)]
+    assert got[2].spans == f"token:2:{2 + len(TOKEN)}" and got[5].spans == "assign:5001:5017"
+    assert S.scan(docs([])).count() == 0
