@@ -210,34 +210,67 @@ def _postings(light: int, frequent: np.ndarray):
     return run
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings sorted by key and set: those of keys that several sets share, each set once a key."""
-    names = ["key", "sid", "n", "place"]
-    tail = {c: np.zeros(0, dtype=np.int64) for c in names}
-    before: int | None = None
-
-    def part(x: dict[str, np.ndarray], end: int) -> pa.RecordBatch:
-        same = np.zeros(end + 1, dtype=bool)
-        same[1 : len(x["key"])] = x["key"][1 : end + 1] == x["key"][: len(x["key"]) - 1][:end]
-        take = same[:end] | same[1 : end + 1]
-        if end and before is not None and x["key"][0] == before:
-            take[0] = True
-        return pa.RecordBatch.from_arrays([pa.array(x[c][:end][take]) for c in names], names=names)
-
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of rows sorted by their first column, cut only between its values."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        x = {c: np.concatenate([tail[c], batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)]) for k, c in enumerate(names)}
-        if not len(x["key"]):
+        if not batch.num_rows:
             continue
+        held.append(batch)
+        last = batch.column(0)[batch.num_rows - 1].as_py()
+        if held[0].column(0)[0].as_py() == last:
+            continue
+        whole = pa.Table.from_batches(held)
+        end = int(np.searchsorted(whole.column(0).to_numpy(), last))
+        yield whole.slice(0, end)
+        held = whole.slice(end).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _need(n0: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return -(-PERCENT * (n0 + n) // (100 + PERCENT))
+
+
+def partnered(key: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """Which members of lists have a partner there (of another root, where roots are known) within the length and position filters; in lists above ``SHORT`` all count."""
+    mark = np.zeros(len(key), dtype=bool)
+    for d in range(1, SHORT + 1):
+        i = np.flatnonzero(key[d:] == key[:-d]) if d < len(key) else np.zeros(0, dtype=np.int64)
+        if not len(i):
+            break
+        j = i + d
+        if d == SHORT:
+            mark |= np.isin(key, key[i])
+            break
+        good = (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= _need(n[i], n[j]))
+        if root is not None:
+            good &= root[i] != root[j]
+        mark[i[good]] = True
+        mark[j[good]] = True
+    return mark
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From postings sorted by key and set: each set once a key, and of those the ones that have a possible partner in their list."""
+    names = ["key", "sid", "n", "place"]
+    for whole in _whole_keys(batches):
+        x = {c: whole.column(k).to_numpy().astype(np.int64) for k, c in enumerate(names)}
         keep = np.ones(len(x["key"]), dtype=bool)
         keep[1:] = (x["key"][1:] != x["key"][:-1]) | (x["sid"][1:] != x["sid"][:-1])
+        same = np.zeros(len(keep) + 1, dtype=bool)
+        same[1:-1] = x["key"][1:] == x["key"][:-1]
+        keep &= same[:-1] | same[1:]
         x = {c: v[keep] for c, v in x.items()}
-        end = len(x["key"]) - 1
-        yield part(x, end)
-        if end:
-            before = int(x["key"][end - 1])
-        tail = {c: v[end:] for c, v in x.items()}
-    if len(tail["key"]):
-        yield part(tail, 1)
+        good = partnered(x["key"], x["n"], x["place"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[c][good]) for c in names], names=names)
+
+
+def _open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows ``key, sid, n, place, root`` sorted by key those that have a possible partner of another root."""
+    for whole in _whole_keys(batches):
+        good = partnered(*(whole.column(k).to_numpy() for k in (0, 2, 3, 4)))
+        yield from whole.filter(pa.array(good)).combine_chunks().to_batches()
 
 
 def _possible(n0: str, place0: str, n: str, place: str):
@@ -303,7 +336,7 @@ def scan_list(sid: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarra
             own = by_width[int(width[k])][k - first[int(width[k])]][None, :]
             while own.shape[1] > w:
                 own = fold(own)
-            need = -(-PERCENT * (n[a:b] + n[k]) // (100 + PERCENT))
+            need = _need(n[a:b], n[k])
             good = (root[a:b] != root[k]) & (np.minimum(n[a:b] - place[a:b], n[k] - place[k]) >= need)
             good[good] = np.bitwise_count(words[a - first[w] : b - first[w]][good] ^ own).sum(axis=1) <= allowed(n[a:b], n[k])[good]
             hit = np.flatnonzero(good) + a
@@ -323,9 +356,8 @@ def scan_short(key: np.ndarray, sid: np.ndarray, n: np.ndarray, place: np.ndarra
         if not len(i):
             break
         j = i + d
-        total = n[i] + n[j]
         good = (root[i] != root[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
-        good &= np.minimum(n[i] - place[i], n[j] - place[j]) >= -(-PERCENT * total // (100 + PERCENT))
+        good &= np.minimum(n[i] - place[i], n[j] - place[j]) >= _need(n[i], n[j])
         left.append(i[good])
         right.append(j[good])
     if not left:
@@ -351,9 +383,7 @@ def scan_short(key: np.ndarray, sid: np.ndarray, n: np.ndarray, place: np.ndarra
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``key, sid, n, place, root, sketch`` sorted by key to candidate pairs, each at most once a batch of lists."""
-    held: list[pa.RecordBatch] = []
-
-    def lists(whole: pa.Table) -> pa.RecordBatch:
+    for whole in _whole_keys(batches):
         key = whole.column(0).to_numpy()
         cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         cols = [whole.column(k).to_numpy() for k in range(1, 5)]
@@ -363,21 +393,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short = np.flatnonzero(~np.repeat(np.isin(np.arange(len(cuts) - 1), long), np.diff(cuts)))
         found.append(scan_short(key[short], *(c[short] for c in cols), [raw[k] for k in short]))
         pairs = np.unique(np.stack([np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        last = batch.column(0)[batch.num_rows - 1].as_py()
-        if held[0].column(0)[0].as_py() == last:
-            continue
-        whole = pa.Table.from_batches(held)
-        end = int(np.searchsorted(whole.column(0).to_numpy(), last))
-        yield lists(whole.slice(0, end))
-        held = whole.slice(end).combine_chunks().to_batches()
-    if held:
-        yield lists(pa.Table.from_batches(held))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
 
 
 def _verify(docs: DataFrame, by_set: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -435,7 +451,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     mixed = hung.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("sid", "place")).alias("x")).where("lo <> hi")
     # Lists with the same members at the same places say the same; one of them is enough.
     open_lists = mixed.groupBy("k", "x", "lo", "hi").agg(F.min("key").alias("key")).select("key")
-    members = hung.join(open_lists, "key").join(by_set.select("sid", "sketch"), "sid").select("key", "sid", "n", "place", "root", "sketch")
+    members = hung.join(open_lists, "key").select("key", "sid", "n", "place", "root").repartition("key").sortWithinPartitions("key")
+    members = members.mapInArrow(_open_members, "key long, sid long, n long, place long, root long")
+    members = members.join(by_set.select("sid", "sketch"), "sid").select("key", "sid", "n", "place", "root", "sketch")
     rest = members.repartition("key").sortWithinPartitions("key").mapInArrow(_scan, "a long, b long").distinct()
     rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "join-rest")
     if not rest.isEmpty():
