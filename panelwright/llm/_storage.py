@@ -32,3 +32,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a materialised side for broadcast when it has at most ``rows`` rows; otherwise leave the join to shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def largest(df: DataFrame, column: str, limit: int) -> DataFrame:
+    """Rows with the largest values (from 1) of a count column, at most ``limit`` of them.
+
+    The cut is taken from a histogram over 64 steps an octave and a whole step
+    stays or goes, so the driver sees a few thousand numbers at most, however
+    many partitions there are, and never a sorted run from each.
+    """
+    step = F.floor(F.log2(F.col(column)) * 64)
+    total, cut = 0, None
+    for r in sorted(df.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["step"]):
+        total += r["n"]
+        if total > limit:
+            break
+        cut = r["step"]
+    return df.where(step >= cut) if cut is not None else df.limit(0)
+
+
+def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """At most ``limit`` rows, those with the smallest hash of ``key``; the hash is cut before the sort, so each partition passes on its share only."""
+    n = df.count()
+    hashed = F.xxhash64(key)
+    if n > limit:
+        df = df.where(F.pmod(hashed, F.lit(1 << 20)) <= F.lit(int((1 << 20) * min(1.0, 1.1 * limit / n + 0.001))))
+    return df.orderBy(F.pmod(hashed, F.lit(1 << 20)), hashed, *df.columns).limit(limit)

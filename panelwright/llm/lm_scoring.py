@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm import gru
-from panelwright.llm._storage import materialize
+from panelwright.llm._storage import largest, materialize
 from panelwright.llm._text import Hasher, slices, spans
 
 #: Words with a softmax of their own, and the size of their classes.
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rounds:
     counts = train.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "lm-counts")
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()[0]
-    top = counts.orderBy(F.desc("n"), "word").limit(TABLE).toPandas()
+    top = largest(counts, "n", TABLE).toPandas().sort_values(["n", "word"], ascending=[False, True])
     table = Table(top["word"].to_numpy(dtype=np.int64).view(np.uint64), top["n"].to_numpy(dtype=np.int64))
     shape = gru.Shape(HEAD, WIDTH, int(bin_of(np.array([-1]))[0]) + 1)
     n = int(total["n"] or 0)

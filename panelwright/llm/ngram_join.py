@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm._storage import broadcast_if_small, materialize
+from panelwright.llm._storage import broadcast_if_small, largest, materialize
 from panelwright.llm._text import Hasher, mix, ngrams, slices, spans
 from panelwright.llm.components import components
 
@@ -424,7 +424,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     known = rows.where("doc_id is not null and n_shingles > 0")
     by_set = materialize(known.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")), "join-distinct")
 
-    counted = described.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= FREQUENT_MIN).orderBy(F.desc("n"), "a").limit(FREQUENT_MAX).toPandas()
+    counted = described.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= FREQUENT_MIN)
+    counted = largest(materialize(counted, "join-frequent"), "n", FREQUENT_MAX).toPandas()
     frequent = np.sort(counted["a"].to_numpy(dtype=np.int64).view(np.uint64))
     few = by_set.groupBy(F.least("n", F.lit(LIGHT_MAX + 1)).alias("size")).agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total")).collect()
     total = sum(r["total"] for r in few)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm._storage import materialize
+from panelwright.llm._storage import bounded_sample, materialize
 from panelwright.llm._text import IS_HEAD, IS_WORD, Hasher, mix, ngrams, per_row, slices, spans
 
 #: Fixed values of the base contract.
@@ -224,7 +224,7 @@ def labelled_features(counts: DataFrame, labels: DataFrame, *, doc_id: str = "do
     """Feature rows of at most ``max_labelled`` labelled documents that pass the base rules, chosen by a hash of the id, and whether each is bad (label 0)."""
     given = labels.select(F.col(doc_id).alias("__id"), F.col(label).alias("__label")).dropna()
     rows = counts.where(~base_failed()).join(given, F.col(doc_id) == F.col("__id")).select("__id", "__label", *COUNTS)
-    p = rows.orderBy(F.xxhash64("__id"), "__id", "__label", *COUNTS).limit(max_labelled).toPandas()
+    p = bounded_sample(rows, "__id", max_labelled).toPandas()
     c = {k: p[k].to_numpy(dtype=float) for k in COUNTS}
     return pd.DataFrame({k: f(c) for k, f in FEATURES.items()}), p["__label"].to_numpy(dtype=float) == 0
 

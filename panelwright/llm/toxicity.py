@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm._storage import broadcast_if_small, materialize
+from panelwright.llm._storage import bounded_sample, broadcast_if_small, materialize
 from panelwright.llm._text import IS_WORD, Hasher, slices, spans
 
 #: Labelled documents a chain is fitted on, at most; chosen by a hash of the id.
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Colu
     """
     names = [name for name, _ in categories]
     given = labels.select(F.col(doc_id).alias("__id"), *[c.cast("int").alias(f"__y{k}") for k, (_, c) in enumerate(categories)]).dropna().dropDuplicates(["__id"])
-    chosen = materialize(given.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled), "chain-labels")
+    chosen = materialize(bounded_sample(given, "__id", max_labelled), "chain-labels")
     rows = docs.join(broadcast_if_small(chosen), F.col(doc_id) == F.col("__id")).select(F.col(text).cast("string").alias("text"), *[f"__y{k}" for k in range(len(names))], F.col("__id").cast("string").alias("id"))
     counts = rows.select("text", *[f"__y{k}" for k in range(len(names))]).mapInArrow(_feature_counts(names), "feature long, n long, " + ", ".join(f"y{k} long" for k in range(len(names))))
     counts = materialize(counts.groupBy("feature").agg(F.sum("n").alias("n"), *[F.sum(f"y{k}").alias(f"y{k}") for k in range(len(names))]).where(F.col("n") >= MIN_DOCS), "chain-features")
