@@ -77,7 +77,7 @@ def test_gradient_matches_differences(small, monkeypatch):
             assert found[k][at] == pytest.approx((loss(up) - loss(down)) / 2e-5, abs=2e-4)
 
 
-def test_table_finds_ranks(monkeypatch):
+def test_table_finds_ranks():
     r = np.random.default_rng(3)
     h = r.integers(1, 1 << 62, 5000).astype(np.uint64)
     h[:50] = (h[:50] & np.uint64(0xFFFFFFFF00000000)) | np.uint64(7)
@@ -85,8 +85,7 @@ def test_table_finds_ranks(monkeypatch):
     assert (t.find(h) == np.arange(5000)).all() and (t.find(r.integers(1, 1 << 62, 1000).astype(np.uint64)) == -1).all() and (L.Table(h[:0], np.zeros(0, dtype=np.int64)).find(h) == -1).all()
 
 
-def test_base_contract_and_learning(docs, prose, monkeypatch):
-    monkeypatch.setattr(L, "TABLE", 4096)
+def test_base_contract_and_learning(docs, prose):
     rows = [(k, (prose(k, 80, 60) if k % 2 else prose(k, 80, 60).replace("w", "V")), "s") for k in range(300)] + [(301, None, "s"), (302, "", "s"), (303, "Unseen words only here", "s"), (None, "w1 w2", "s"), (5, "dup", "s"), (5, "dup", "s")]
     table = docs(rows, extra=("row", "word", "n"))
     got = L.score(table, L.fit(table)).collect()

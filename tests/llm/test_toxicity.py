@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from panelwright.llm import toxicity as X
 
-CATEGORIES = [("low_quality", F.col("quality") == 0), ("toxic", F.col("toxic") == 1)]
+def categories():
+    return [("low_quality", F.col("quality") == 0), ("toxic", F.col("toxic") == 1)]
+
 
 
 def corpus(prose, n=400):
@@ -28,7 +30,7 @@ def test_held_out_accuracy(spark, docs, prose):
     rows, labels = corpus(prose)
     table = docs([*rows, (900, None, "s"), (901, "", "s"), (None, "villain rascal scoundrel", "s"), (5, rows[5][1], "s")], extra=("p_toxic", "feature", "quality"))
     seen = spark.createDataFrame([*labels[:280], (None, 1, 0), (7, None, None), (8888, 0, 1)], "doc_id long, quality int, toxic int")
-    chain, vocabulary = X.fit(table, seen, CATEGORIES)
+    chain, vocabulary = X.fit(table, seen, categories())
     got = X.score(table, chain, vocabulary).collect()
     assert len(got) == len(rows) + 4
     p = {r.doc_id: (r.p_low_quality, r.p_toxic) for r in got}
@@ -50,6 +52,6 @@ def test_chain_uses_earlier_categories():
 def test_without_labels(spark, docs):
     table = docs([(1, "a b", "s")])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    chain, vocabulary = X.fit(table, none, CATEGORIES)
+    chain, vocabulary = X.fit(table, none, categories())
     assert [(r.p_low_quality, r.p_toxic) for r in X.score(table, chain, vocabulary).collect()] == [(0.5, 0.5)]
     assert X.score(docs([]), chain, vocabulary).count() == 0
