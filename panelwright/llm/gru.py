@@ -136,7 +136,8 @@ class Trainer:
 
     def learn(self, symbols: np.ndarray, firsts: np.ndarray) -> None:
         """One pass over a stream of documents; ``firsts`` flags the first token of each."""
-        lanes = min(LANES, max(1, len(symbols) // STEPS))
+        # Short streams take fewer lanes, so that there are some dozens of updates.
+        lanes = max(1, min(LANES, len(symbols) // (64 * STEPS)))
         length = len(symbols) // lanes
         if not length:
             return

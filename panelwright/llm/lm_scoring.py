@@ -185,12 +185,13 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rounds:
     counts = train.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "lm-counts")
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()[0]
-    top = largest(counts, "n", TABLE).toPandas().sort_values(["n", "word"], ascending=[False, True])
+    # Words seen once stand for those not seen: they stay out of the table, so the last bin learns how often new words come.
+    top = largest(counts.where("n >= 2"), "n", TABLE).toPandas().sort_values(["n", "word"], ascending=[False, True])
     table = Table(top["word"].to_numpy(dtype=np.int64).view(np.uint64), top["n"].to_numpy(dtype=np.int64))
     shape = gru.Shape(HEAD, WIDTH, int(bin_of(np.array([-1]))[0]) + 1)
     n = int(total["n"] or 0)
     seen = np.bincount(symbols_of(np.arange(len(table.counts))), weights=table.counts, minlength=HEAD + shape.bins)
-    seen[-1] = n - table.counts.sum()
+    seen[-1] = n - table.counts.sum() + 0.5 * (int(total["v"]) - len(table.counts) + 1)
     params = gru.initial(shape, seen)
     shared = spark.sparkContext.broadcast(table)
     for k in range(rounds if n else 0):
