@@ -52,7 +52,9 @@ def pearson(x: str | Column, y: str | Column) -> Column:
     """Aggregate: correlation, null for fewer than two rows or a constant side, within [-1, 1]."""
     x, y = col(x).cast("double"), col(y).cast("double")
     r = F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
-    return F.when(F.count(x) >= 2, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    # A constant side can have a variance of rounding errors.
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when((F.count(x) >= 2) & varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def sharpe(x: str | Column, annualization: float = 1.0) -> Column:

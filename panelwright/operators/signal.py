@@ -36,8 +36,11 @@ def ic_frame(panel: DataFrame, *, by: Sequence[str] = ("time",), method: str = "
     keys = keys_of(panel, by)
     pairs = panel.where(~(missing("x") | missing("y")))
     if method == "spearman":
-        pairs = pairs.select(*keys, average_rank("x", keys).alias("x"), average_rank("y", keys).alias("y"))
-    return pairs.groupBy(*keys).agg(pearson("x", "y").alias("ic"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_observations)
+        pairs = pairs.select(*keys, F.col("x").alias("x0"), F.col("y").alias("y0"), average_rank("x", keys).alias("x"), average_rank("y", keys).alias("y"))
+    else:
+        pairs = pairs.withColumns({"x0": F.col("x"), "y0": F.col("y")})
+    varies = (F.min("x0") < F.max("x0")) & (F.min("y0") < F.max("y0"))
+    return pairs.groupBy(*keys).agg(F.when(varies, pearson("x", "y")).alias("ic"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_observations)
 
 
 def ic_summary_frame(ic: DataFrame, by: Sequence[str] = ()) -> DataFrame:
