@@ -3,19 +3,23 @@
 The token streams of a host's pages are aligned one after another.  Where they
 differ in text, a text slot results; where a token is missing on one side, an
 optional one; where a run of like siblings has different lengths, a repeated
-group.  The wrapper tells template text (constant over the host's pages) and
-the element that holds the varying text.  Extraction takes the article of a
-page, or where none is marked that element, without the parts that are
-boilerplate by their tag or by the words of their class, id or role.
+group.  The wrapper tells the element that holds the varying text.  Template
+text is counted over all pages of the host, by path and text, so it
+does not depend on how pages are dealt to tasks.  Extraction takes the article
+of a page, or where none is marked the wrapper's content element without
+template text; in both without the parts that are boilerplate by their tag or
+by the words of their class, id or role.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -45,10 +49,11 @@ MARKED = frozenset("ad ads advert adverts advertisement advertising adsense bann
 #: Boilerplate only outside an article.
 OUTER = frozenset("header masthead top".split())
 
+#: Elements nested deeper have no node of their own in the tree; their text stands in the last that has.
 MAX_DEPTH = 48
-#: Pages a text must be constant on to count as template.
+#: Pages of a host that a template text stands on.
 TEMPLATE_PAGES = 3
-#: Nodes of a wrapper above which the rarest optional ones are forgotten.
+#: Nodes of a wrapper above which the rarest optional ones become slots of their parents.
 WRAPPER_NODES = 4000
 _CONSTANT_CHARS = 300
 _HINT_ROWS, _SALT = 5000, 16
@@ -75,6 +80,21 @@ def clean(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 
 
+def _key(text: str) -> str:
+    """What a tree holds of a text: itself, or its digest where it is long."""
+    return text if len(text) <= _CONSTANT_CHARS else "\0" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+@lru_cache(maxsize=4096)
+def _slot(path: tuple[str, ...]) -> bytes:
+    return hashlib.blake2b("\0".join(path).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+
+
+def _pair(path: tuple[str, ...], key: str) -> int:
+    """Hash of a text at a path."""
+    return int.from_bytes(hashlib.blake2b(_slot(path) + key.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 class Page:
     """One pass over a page: its text blocks, and the tree of its tokens if wanted.
 
@@ -120,7 +140,7 @@ class Page:
             _, _, dropped, article, children = self._open[-1]
             self.blocks.append((text, tuple(x[1] for x in self._open[1:]), article, dropped))
             if self._tree and not dropped:
-                children.append(["#", text if len(text) <= _CONSTANT_CHARS else None, 0, 1, len(text)])
+                children.append(["#", _key(text), 0, 1, len(text)])
 
     def _start(self, name: str, attrs: str) -> None:
         if name in VOID:
@@ -150,7 +170,7 @@ class Page:
         dropped = parent[2] or dropped or outer and not article
         if article and not dropped:
             self.has_article = True
-        self._open.append((name, token, dropped, article, []))
+        self._open.append((name, token, dropped, article, [] if len(self._open) < MAX_DEPTH else parent[4]))
 
     def _close(self, name: str) -> None:
         for k in range(len(self._open) - 1, 0, -1):
@@ -208,12 +228,19 @@ def _size(nodes: list) -> int:
     return sum(1 if x[0] == "#" else 1 + _size(x[4]) for x in nodes)
 
 
+def _mass(nodes: list) -> int:
+    return sum(x[4] if x[0] == "#" else _mass(x[4]) for x in nodes)
+
+
 def _prune(nodes: list, least: int) -> list:
-    return [x if x[0] == "#" else [*x[:4], _prune(x[4], least)] for x in nodes if not (x[2] and x[3] < least)]
+    rare = [x for x in nodes if x[2] and x[3] < least]
+    kept = [x if x[0] == "#" else [*x[:4], _prune(x[4], least)] for x in nodes if not (x[2] and x[3] < least)]
+    mass = _mass(rare)
+    return [*kept, ["#", None, 1, max(x[3] for x in rare), mass]] if mass else kept
 
 
 def bounded(wrapper: list) -> list:
-    """Forget rare optional nodes until the wrapper is small: they carry no template evidence, so nothing is dropped because of them."""
+    """Let rare optional nodes become slots of their parents until the wrapper is small: their text still counts for the content element, and template text is counted elsewhere."""
     least = 2
     while _size(wrapper) > WRAPPER_NODES and least < 1 << 40:
         wrapper = _prune(wrapper, least)
@@ -221,34 +248,35 @@ def bounded(wrapper: list) -> list:
     return wrapper
 
 
-def hints(wrapper: list) -> dict:
-    """Template texts of a wrapper, and the path to the deepest element with most of the slots' text."""
-    texts: list[str] = []
+def hints(wrapper: list, template: frozenset[int] | None = None) -> dict:
+    """Template texts, and the path to the deepest element of the wrapper with most of the slots' text.
+
+    ``template`` holds the counted template texts of the host as pairs of path
+    and text; without it, the texts that the wrapper alone shows as constant count.
+    """
+    texts: set[str] = set()
 
-    def walk(nodes: list) -> float:
+    def varying(nodes: list, path: tuple[str, ...]) -> float:
         total = 0.0
         for x in nodes:
             if x[0] != "#":
-                total += walk(x[4])
-            elif x[1] is None or x[3] < TEMPLATE_PAGES:
+                total += varying(x[4], (*path, x[0]))
+            elif x[1] is None or (x[3] < TEMPLATE_PAGES if template is None else _pair(path, x[1]) not in template):
                 total += x[4]
-            else:
-                texts.append(x[1])
+            elif template is None:
+                texts.add(x[1])
         return total
 
-    total, path, nodes = walk(wrapper), [], wrapper
-    texts = sorted(set(texts))
+    path: tuple[str, ...] = ()
+    total, nodes = varying(wrapper, path), wrapper
     while total:
-        best = max((x for x in nodes if x[0] != "#" and not x[1]), key=lambda x: _varying(x[4]), default=None)
-        if best is None or _varying(best[4]) < 0.7 * total or best[0].split(".")[0] in ("p", "li", "td", "tr"):
+        found = [(varying(x[4], (*path, x[0])), x) for x in nodes if x[0] != "#" and not x[1]]
+        most, best = max(found, key=lambda f: f[0], default=(0.0, None))
+        if best is None or most < 0.7 * total or best[0].split(".")[0] in ("p", "li", "td", "tr"):
             break
-        path.append(best[0])
+        path = (*path, best[0])
         nodes = best[4]
-    return {"texts": texts, "path": path}
-
-
-def _varying(nodes: list) -> float:
-    return sum(_varying(x[4]) if x[0] != "#" else (x[4] if x[1] is None or x[3] < TEMPLATE_PAGES else 0) for x in nodes)
+    return {"texts": sorted(texts), "pairs": sorted(template or ()), "path": list(path)}
 
 
 def extract(source: str | None, hint: dict | None = None) -> str:
@@ -263,37 +291,65 @@ def extract(source: str | None, hint: dict | None = None) -> str:
         return "\n\n".join(text for text, _, article, dropped in page.blocks if article and not dropped)
     kept = [(text, path) for text, path, _, dropped in page.blocks if not dropped]
     if hint:
-        template, prefix = set(hint["texts"]), tuple(hint["path"])
+        prefix = tuple(hint["path"])
         inner = [(t, p) for t, p in kept if p[: len(prefix)] == prefix]
-        kept = [(t, p) for t, p in (inner or kept) if t not in template] or inner or kept
+        kept = [(t, p) for t, p in (inner or kept) if not _is_template(t, p, hint)] or inner or kept
     return "\n\n".join(text for text, _ in kept)
 
 
+def _is_template(text: str, path: tuple[str, ...], hint: dict) -> bool:
+    if not hint["texts"] and not hint["pairs"]:
+        return False
+    key = _key(text)
+    return key in hint["texts"] or _pair(path, key) in hint["pairs"]
+
+
 def _host(url: str):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _fold_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each page the distinct pairs of its blocks with their slots; then for each host the wrapper of this task's pages."""
     found: dict[str, list] = {}
     for batch in batches:
-        for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            tree = Page(source.as_py(), tree=True).tree
-            found[host] = align(found[host], tree) if host in found else tree
-    hosts = list(found)
-    yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "wrapper": pa.array([json.dumps(bounded(found[h])) for h in hosts], pa.string())})
+        rows = []
+        for host, page, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            read = Page(source.as_py(), tree=True)
+            found[host] = align(found[host], read.tree) if host in found else read.tree
+            pairs = {_pair(path, _key(text)): int.from_bytes(_slot(path), "big", signed=True) for text, path, _, dropped in read.blocks if not dropped}
+            rows.append((host, page, list(pairs.values()), list(pairs), None))
+        yield _batch(rows)
+    yield _batch([(h, None, None, None, json.dumps(bounded(w))) for h, w in found.items()])
 
 
-def _merge_hosts(pdf: pd.DataFrame) -> pd.DataFrame:
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string())
+    columns = zip(*rows, strict=True) if rows else ((),) * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "page", "slots", "pairs", "wrapper"])
+
+
+def _merge_hosts(wrappers: pd.DataFrame, template: pd.DataFrame) -> pd.DataFrame:
     wrapper: list | None = None
-    for x in sorted(pdf["wrapper"]):
+    for x in sorted(wrappers["wrapper"]):
         wrapper = bounded(align(wrapper, json.loads(x))) if wrapper is not None else json.loads(x)
-    return pd.DataFrame({"whost": pdf["host"].iloc[:1], "hint": [json.dumps(hints(wrapper or []))]})
+    return pd.DataFrame({"whost": wrappers["host"].iloc[:1], "hint": [json.dumps(hints(wrapper or [], frozenset(map(int, template["pair"]))))]})
+
+
+def template_pairs(read: DataFrame) -> DataFrame:
+    """``thost, pair`` of texts that stand at one path on enough of the host's pages.  Counts are combined before the shuffle."""
+    blocks = read.select("host", F.explode(F.arrays_zip("slots", "pairs")).alias("b")).select("host", F.col("b.slots").alias("slot"), F.col("b.pairs").alias("pair"))
+    often = blocks.groupBy("host", "slot", "pair").agg(F.count(F.lit(1)).alias("n"))
+    return often.where(F.col("n") >= TEMPLATE_PAGES).select(F.col("host").alias("thost"), "pair")
 
 
 def host_hints(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
-    """``whost, hint`` for every host.  Each task folds its pages into one wrapper a host; only wrappers are shuffled, so a host's share of a group is the number of tasks, not of pages."""
-    wrappers = pages.select(_host(url).alias("host"), F.col(html).cast("string").alias("html")).mapInArrow(_fold_hosts, "host string, wrapper string")
-    return materialize(wrappers.groupBy("host").applyInPandas(_merge_hosts, "whost string, hint string"), "html-hints")
+    """``whost, hint`` for every host.  Each task folds its pages into one wrapper a host, so a host's share of a group is the number of tasks, not of pages; texts are counted by hash."""
+    source = F.col(html).cast("string")
+    read = pages.select(_host(url).alias("host"), F.xxhash64(F.coalesce(source, F.lit(""))).alias("page"), source.alias("html"))
+    read = materialize(read.mapInArrow(_read_pages, "host string, page long, slots array<long>, pairs array<long>, wrapper string"), "html-blocks")
+    wrappers = read.where(F.col("wrapper").isNotNull()).select("host", "wrapper")
+    template = template_pairs(read.where(F.col("wrapper").isNull()))
+    return materialize(wrappers.groupBy("host").cogroup(template.groupBy("thost")).applyInPandas(_merge_hosts, "whost string, hint string"), "html-hints")
 
 
 def main_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -301,7 +357,8 @@ def main_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", h
 
     A null or empty page has an empty text.  Pages with a null or unreadable
     url share one host.  Repeated rows and pages that are alike are extracted
-    alike; a host with one page has no template.  A null id is passed through.
+    alike; a host with fewer than ``TEMPLATE_PAGES`` pages has no
+    template.  A null id is passed through.
     An empty table gives an empty result.
     """
     hint = host_hints(pages, url=url, html=html)
@@ -321,7 +378,7 @@ def main_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", h
                 if raw is not None and raw not in parsed:
                     if len(parsed) > 2000:
                         parsed.clear()
-                    parsed[raw] = json.loads(raw)
+                    parsed[raw] = {k: frozenset(v) if k != "path" else v for k, v in json.loads(raw).items()}
                 texts.append(extract(source.as_py(), parsed.get(raw)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

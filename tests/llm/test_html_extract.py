@@ -56,3 +56,20 @@ def test_salted_join_gives_the_same(spark, monkeypatch):
     want = sorted(H.main_text(df).collect())
     monkeypatch.setattr(H, "_HINT_ROWS", 1)
     assert sorted(H.main_text(df).collect()) == want
+
+
+def texts(spark, sources, host="t.example", partitions=3):
+    rows = [(k, f"http://{host}/{k}", s) for k, s in enumerate(sources)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(partitions)
+    return {r.page_id: r.text for r in H.main_text(df).collect()}
+
+
+def test_long_deep_and_rare_template_text_goes(spark, monkeypatch):
+    monkeypatch.setattr(H, "WRAPPER_NODES", 8)
+    legal = "We keep some data on your device. " * 12
+    deep = "<div>" * 60 + "<p>Deep line</p>" + "</div>" * 60
+    rare = "<blockquote><p>Shop closed today</p></blockquote>"
+    pages = [page(f"<div><p>Story {k} as told</p><p>more {k}</p><section><p>{legal}</p></section>{deep}{rare if k % 10 == 0 else ''}</div>") for k in range(40)]
+    got = texts(spark, pages, partitions=8)
+    assert got[10] == "Story 10 as told\n\nmore 10" and got[11] == "Story 11 as told\n\nmore 11"
+    assert texts(spark, pages, partitions=2) == got
