@@ -4,7 +4,7 @@ The token streams of a host's pages are aligned one after another.  Where they
 differ in text, a text slot results; where a token is missing on one side, an
 optional one; where a run of like siblings has different lengths, a repeated
 group.  The wrapper tells the element that holds the varying text.  Template
-text is counted over all pages of the host, by path and text, so it
+text is counted over all distinct pages of the host, by path and text, so it
 does not depend on how pages are dealt to tasks.  Extraction takes the article
 of a page, or where none is marked the wrapper's content element without
 template text; in both without the parts that are boilerplate by their tag or
@@ -16,8 +16,9 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import json
+import operator
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -51,8 +52,8 @@ OUTER = frozenset("header masthead top".split())
 
 #: Elements nested deeper have no node of their own in the tree; their text stands in the last that has.
 MAX_DEPTH = 48
-#: Pages of a host that a template text stands on.
-TEMPLATE_PAGES = 3
+#: Distinct pages of a host, and share of those that have any text at its path, that a template text stands on.
+TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.5
 #: Nodes of a wrapper above which the rarest optional ones become slots of their parents.
 WRAPPER_NODES = 4000
 _CONSTANT_CHARS = 300
@@ -190,35 +191,39 @@ class Page:
 
 
 def fold(nodes: list) -> list:
-    """Runs of like siblings become one repeated group."""
+    """Runs of like siblings become one repeated group; they may stand on the same pages, so their pages do not add up."""
     out: list = []
     for x in nodes:
         if out and x[0] != "#" and out[-1][0] == x[0]:
-            out[-1] = [x[0], 1, out[-1][2], out[-1][3], align(out[-1][4], x[4])]
+            out[-1] = [x[0], 1, out[-1][2], max(out[-1][3], x[3]), align(out[-1][4], x[4], max)]
         else:
             out.append(x)
     return out
 
 
-def _both(a: list, b: list) -> list:
+def _both(a: list, b: list, pages: Callable[[int, int], int]) -> list:
     if a[0] == "#":
-        return ["#", a[1] if a[1] == b[1] else None, a[2] | b[2], a[3] + b[3], a[4] + b[4]]
-    return [a[0], a[1] | b[1], a[2] | b[2], a[3] + b[3], align(a[4], b[4])]
+        return ["#", a[1] if a[1] == b[1] else None, a[2] | b[2], pages(a[3], b[3]), a[4] + b[4]]
+    return [a[0], a[1] | b[1], a[2] | b[2], pages(a[3], b[3]), align(a[4], b[4], pages)]
 
 
 def _optional(x: list) -> list:
     return [x[0], x[1], 1, *x[3:]]
 
 
-def align(a: list, b: list) -> list:
-    """The least general wrapper of two token streams in this form: slots, optional nodes and repeated groups."""
+def align(a: list, b: list, pages: Callable[[int, int], int] = operator.add) -> list:
+    """The least general wrapper of two token streams in this form: slots, optional nodes and repeated groups.
+
+    ``pages`` joins the page counts of nodes that meet: a sum for streams of
+    different pages, the larger one for parts of the same.
+    """
     ka, kb = [x[0] for x in a], [x[0] for x in b]
     if ka == kb:
-        return [_both(x, y) for x, y in zip(a, b, strict=True)]
+        return [_both(x, y, pages) for x, y in zip(a, b, strict=True)]
     out: list = []
     for kind, i, j, k, m in SequenceMatcher(None, ka, kb, autojunk=False).get_opcodes():
         if kind == "equal":
-            out += [_both(x, y) for x, y in zip(a[i:j], b[k:m], strict=True)]
+            out += [_both(x, y, pages) for x, y in zip(a[i:j], b[k:m], strict=True)]
         else:
             out += [_optional(x) for x in (*a[i:j], *b[k:m])]
     return fold(out)
@@ -309,11 +314,15 @@ def _host(url: str):
 
 
 def _read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each page the distinct pairs of its blocks with their slots; then for each host the wrapper of this task's pages."""
+    """For each page the distinct pairs of its blocks with their slots; then for each host the wrapper of this task's pages.  A copy of a page is read once a task."""
     found: dict[str, list] = {}
+    seen: set[tuple[str, int]] = set()
     for batch in batches:
         rows = []
         for host, page, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if (host, page) in seen:
+                continue
+            seen.add((host, page))
             read = Page(source.as_py(), tree=True)
             found[host] = align(found[host], read.tree) if host in found else read.tree
             pairs = {_pair(path, _key(text)): int.from_bytes(_slot(path), "big", signed=True) for text, path, _, dropped in read.blocks if not dropped}
@@ -336,10 +345,12 @@ def _merge_hosts(wrappers: pd.DataFrame, template: pd.DataFrame) -> pd.DataFrame
 
 
 def template_pairs(read: DataFrame) -> DataFrame:
-    """``thost, pair`` of texts that stand at one path on enough of the host's pages.  Counts are combined before the shuffle."""
-    blocks = read.select("host", F.explode(F.arrays_zip("slots", "pairs")).alias("b")).select("host", F.col("b.slots").alias("slot"), F.col("b.pairs").alias("pair"))
-    often = blocks.groupBy("host", "slot", "pair").agg(F.count(F.lit(1)).alias("n"))
-    return often.where(F.col("n") >= TEMPLATE_PAGES).select(F.col("host").alias("thost"), "pair")
+    """``thost, pair`` of texts that stand at one path on enough of the host's distinct pages.  Counts are combined before each shuffle; only texts with enough pages meet the counts of their slots."""
+    pages = read.dropDuplicates(["host", "page"])
+    blocks = pages.select("host", F.explode(F.arrays_zip("slots", "pairs")).alias("b")).select("host", F.col("b.slots").alias("slot"), F.col("b.pairs").alias("pair"))
+    often = blocks.groupBy("host", "slot", "pair").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= TEMPLATE_PAGES)
+    slots = pages.select("host", F.explode(F.array_distinct("slots")).alias("slot")).groupBy("host", "slot").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= TEMPLATE_PAGES)
+    return often.join(slots, ["host", "slot"]).where(F.col("n") >= F.lit(TEMPLATE_SHARE) * F.col("total")).select(F.col("host").alias("thost"), "pair")
 
 
 def host_hints(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
@@ -357,7 +368,7 @@ def main_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", h
 
     A null or empty page has an empty text.  Pages with a null or unreadable
     url share one host.  Repeated rows and pages that are alike are extracted
-    alike; a host with fewer than ``TEMPLATE_PAGES`` pages has no
+    alike; a host with fewer than ``TEMPLATE_PAGES`` distinct pages has no
     template.  A null id is passed through.
     An empty table gives an empty result.
     """

@@ -73,3 +73,13 @@ def test_long_deep_and_rare_template_text_goes(spark, monkeypatch):
     got = texts(spark, pages, partitions=8)
     assert got[10] == "Story 10 as told\n\nmore 10" and got[11] == "Story 11 as told\n\nmore 11"
     assert texts(spark, pages, partitions=2) == got
+
+
+def test_siblings_and_copies_of_one_page_are_no_template(spark):
+    one = page("<div><ul><li>x</li><li>x</li><li>x</li></ul><p>tail</p></div>")
+    tree = H.Page(one, tree=True).tree
+    assert H.hints(tree)["texts"] == []
+    assert texts(spark, [one])[0] == "x\n\nx\n\nx\n\ntail"
+    odd = page("<div><h2>Odd head</h2><h3>Odd words</h3><p>Odd main text</p></div>")
+    pages = [odd] * 4 + [page(f"<div><p>Story {k}</p></div>") for k in range(8)]
+    assert texts(spark, pages)[0] == "Odd head\n\nOdd words\n\nOdd main text"
