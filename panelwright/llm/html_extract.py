@@ -6,9 +6,9 @@ optional one; where a run of like siblings has different lengths, a repeated
 group.  The wrapper tells the element that holds the varying text.  Template
 text is counted over all distinct pages of the host, by path and text, so it
 does not depend on how pages are dealt to tasks.  Extraction takes the article
-of a page, or where none is marked the wrapper's content element without
-template text; in both without the parts that are boilerplate by their tag or
-by the words of their class, id or role.
+of a page, or where none is marked its body; within that the wrapper's content
+element, without template text and without the parts that are boilerplate by
+their tag or by the words of their class, id or role.
 """
 
 from __future__ import annotations
@@ -287,18 +287,20 @@ def hints(wrapper: list, template: frozenset[int] | None = None) -> dict:
 def extract(source: str | None, hint: dict | None = None) -> str:
     """Main text of a page: blocks joined by an empty line.
 
-    With a marked article (``article`` or ``main``) everything in it but its
-    boilerplate; otherwise the blocks under the wrapper's content element, or
-    of the whole body where the page lacks that, that are not template text.
+    The blocks of a marked article (``article`` or ``main``), or where there is
+    none of the whole body, but for its boilerplate.  Of those the wrapper's
+    content element, where the page has it, and main headings of an article
+    outside it; then without template text.  A step that would leave nothing is
+    left out.
     """
     page = Page(source)
-    if page.has_article:
-        return "\n\n".join(text for text, _, article, dropped in page.blocks if article and not dropped)
-    kept = [(text, path) for text, path, _, dropped in page.blocks if not dropped]
+    kept = [(text, path) for text, path, article, dropped in page.blocks if not dropped and (article or not page.has_article)]
     if hint:
         prefix = tuple(hint["path"])
-        inner = [(t, p) for t, p in kept if p[: len(prefix)] == prefix]
-        kept = [(t, p) for t, p in (inner or kept) if not _is_template(t, p, hint)] or inner or kept
+        inside = [p[: len(prefix)] == prefix for _, p in kept]
+        if any(inside):
+            kept = [(t, p) for (t, p), x in zip(kept, inside, strict=True) if x or page.has_article and any(e.split(".")[0] == "h1" for e in p)]
+        kept = [(t, p) for t, p in kept if not _is_template(t, p, hint)] or kept
     return "\n\n".join(text for text, _ in kept)
 
 

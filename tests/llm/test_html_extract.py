@@ -64,6 +64,16 @@ def texts(spark, sources, host="t.example", partitions=3):
     return {r.page_id: r.text for r in H.main_text(df).collect()}
 
 
+def test_template_text_goes_inside_an_article_too(spark):
+    pages = [page(f"<article><h1>Title {k}</h1><p>Body {k} of its own</p><p>more {k}</p><p>Pass this on to a friend</p></article>") for k in range(6)]
+    assert texts(spark, pages)[4] == "Title 4\n\nBody 4 of its own\n\nmore 4"
+
+
+def test_content_element_inside_an_article_keeps_the_main_heading(spark):
+    pages = [page(f'<article><h1>Title {k}</h1><div class="body"><p>{f"Long {k} text " * 9}</p></div><div class="x"><p>See {k}</p></div></article>') for k in range(6)]
+    assert texts(spark, pages)[2] == "Title 2\n\n" + H.clean("Long 2 text " * 9)
+
+
 def test_long_deep_and_rare_template_text_goes(spark, monkeypatch):
     monkeypatch.setattr(H, "WRAPPER_NODES", 8)
     legal = "We keep some data on your device. " * 12
