@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm._storage import broadcast_if_small, materialize
+from panelwright.llm._storage import materialize
+
+#: Hashes of boilerplate lines up to which they may be broadcast; beyond it the join shuffles.
+BROADCAST_HASHES = 1_000_000
 
 
 def _lines(text: Column) -> Column:
@@ -43,7 +46,9 @@ def drop_boilerplate(docs: DataFrame, *, host: str = "source", text: str = "text
     text stays null; an empty text stays empty; an empty table stays empty.
     With ``counts``, ``n_lines`` and ``n_dropped`` are added (0 and 0 for null).
     """
-    drop = broadcast_if_small(materialize(boilerplate(docs, host=host, text=text, ratio=ratio, min_pages=min_pages), "boilerplate"))
+    drop = materialize(boilerplate(docs, host=host, text=text, ratio=ratio, min_pages=min_pages), "boilerplate")
+    if drop.select(F.explode("__drop")).limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES:
+        drop = F.broadcast(drop)
     joined = docs.join(drop, F.col(host).eqNullSafe(F.col("__host")), "left")
     lines = _lines(F.col(text))
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__drop"), F.xxhash64(x)))

@@ -32,3 +32,9 @@ def test_run_equals_the_stages(spark, sf_dir):
 def test_every_operator_is_registered():
     numbers = {m[1] for q in catalog.QUERIES if (m := re.match(r"op(\d+)_", q))}
     assert numbers == {str(k) for k in range(1, 11)} and "pipeline" in catalog.QUERIES
+
+
+def test_lines_on_a_small_share_of_a_large_source_go(spark, sf_dir, docs):
+    rows = [(k, f"own {k}\nfew" if k % 33 == 0 else f"own {k}", "large") for k in range(400)]
+    got = {r.doc_id: r.text for r in P.drop_boilerplate_lines(spark, docs(rows), sf_dir).collect()}
+    assert got == {k: f"own {k}" for k in range(400)}
