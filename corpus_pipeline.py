@@ -24,13 +24,13 @@ def reject_by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return quality_rules.keep_good(docs, _table(spark, sf_dir, "labels"))
 
 
-#: Share of a source's distinct pages above which a line goes; the measured shares are in the README.
-LINE_RATIO = 0.005
+#: Share of a source's distinct pages above which a line goes, and pages it must stand on at least; the measured shares are in the README.
+LINE_RATIO, LINE_PAGES = 0.005, 3
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that more than ``LINE_RATIO`` of a source's distinct pages share go; ``n_chars`` follows the text."""
-    return line_dedup.drop_boilerplate(docs, ratio=LINE_RATIO).withColumn("n_chars", F.length("text").cast("long"))
+    """Lines that more than ``LINE_RATIO`` of a source's distinct pages share, and ``LINE_PAGES`` at least, go; ``n_chars`` follows the text."""
+    return line_dedup.drop_boilerplate(docs, ratio=LINE_RATIO, min_pages=LINE_PAGES).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,9 @@ def test_lines_on_a_small_share_of_a_large_source_go(spark, sf_dir, docs):
     rows = [(k, f"own {k}\nfew" if k % 33 == 0 else f"own {k}", "large") for k in range(400)]
     got = {r.doc_id: r.text for r in P.drop_boilerplate_lines(spark, docs(rows), sf_dir).collect()}
     assert got == {k: f"own {k}" for k in range(400)}
+
+
+def test_small_sources_lose_their_boilerplate_too(spark, sf_dir, docs):
+    rows = [(10 * n + k, f"own {n} {k}\nmenu", f"source of {n}") for n in (2, 3, 9) for k in range(n)]
+    got = {r.doc_id: r.text for r in P.drop_boilerplate_lines(spark, docs(rows), sf_dir).collect()}
+    assert got == {i: t if s == "source of 2" else t.split("\n")[0] for i, t, s in rows}
