@@ -138,22 +138,23 @@ class Trainer:
         """One pass over a stream of documents; ``firsts`` flags the first token of each."""
         # Short streams take fewer lanes, so that there are some dozens of updates.
         lanes = max(1, min(LANES, len(symbols) // (64 * STEPS)))
-        length = len(symbols) // lanes
+        length = -(-len(symbols) // lanes)
         if not length:
             return
+        # The last lane is padded; padded places have no loss.
+        pad = lanes * length - len(symbols)
         start = self.shape.inputs - 1
         before = np.concatenate([[start], symbols[:-1]])
         before = np.where(firsts, start, before)
-        y = symbols[: lanes * length].reshape(lanes, length).T
-        x = before[: lanes * length].reshape(lanes, length).T
-        fresh = firsts[: lanes * length].reshape(lanes, length).T
+        y, x, fresh, real = (np.pad(v, (0, pad)).reshape(lanes, length).T for v in (symbols, before, firsts, np.ones(len(symbols), dtype=bool)))
         h = np.zeros((lanes, HIDDEN), dtype=np.float32)
         for t in range(0, length, STEPS):
-            h = self._window(h, x[t : t + STEPS], y[t : t + STEPS], fresh[t : t + STEPS])
-        self.tokens += lanes * length
+            h = self._window(h, x[t : t + STEPS], y[t : t + STEPS], fresh[t : t + STEPS], real[t : t + STEPS])
+        self.tokens += len(symbols)
 
-    def _window(self, h: np.ndarray, x: np.ndarray, y: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    def _window(self, h: np.ndarray, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, real: np.ndarray | None = None) -> np.ndarray:
         p, steps, lanes = self.p, len(x), x.shape[1]
+        real = np.ones(y.shape, dtype=bool) if real is None else real
         embedded = p["emb"][x.ravel()]
         drive = (embedded @ p["wx"] + p["b"]).reshape(steps, lanes, 3 * HIDDEN)
         keep = (~fresh).astype(np.float32)[:, :, None]
@@ -165,7 +166,8 @@ class Trainer:
             states[t] = h
             cache.append((previous, gates, own, new))
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        dh_out = _loss_gradient(p, self.shape, states.reshape(-1, HIDDEN), y.ravel(), g).reshape(steps, lanes, HIDDEN)
+        dh_out = np.zeros((steps, lanes, HIDDEN), dtype=np.float32)
+        dh_out[real] = _loss_gradient(p, self.shape, states[real], y[real], g)
         ddrive = np.empty_like(drive)
         dh = np.zeros((lanes, HIDDEN), dtype=np.float32)
         da = np.empty((lanes, 3 * HIDDEN), dtype=np.float32)

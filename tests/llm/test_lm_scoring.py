@@ -114,3 +114,14 @@ def test_empty_table(docs):
     only = docs([(next(k for k in range(99) if zlib.crc32(str(k).encode()) % 5 == 1), "a b", "s")])
     r = L.score(only, L.fit(only)).collect()[0]
     assert (r.train_tokens, r.n_known, r.base_score, r.score) == (0, 0, 0.0, 0.0)
+
+
+def test_every_token_of_a_stream_is_learned(small):
+    symbols = np.random.default_rng(3).integers(0, 15, 3 * 64 * gru.STEPS + 2)
+    firsts = np.arange(len(symbols)) % 50 == 0
+    other = symbols.copy()
+    other[-1] = (other[-1] + 1) % 15
+    a, b = gru.Trainer(small, SHAPE), gru.Trainer(small, SHAPE)
+    a.learn(symbols, firsts)
+    b.learn(other, firsts)
+    assert a.tokens == len(symbols) and any((a.p[k] != b.p[k]).any() for k in small)
