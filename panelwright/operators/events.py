@@ -24,13 +24,15 @@ def price_index(prices: DataFrame, *, time: str = "time", instrument: str = "ins
 def aligned_events(events: DataFrame, prices: DataFrame, *, anchor: str = "available_time", event_time: str = "event_time", available_time: str = "available_time", before: int = 5, after: int = 10) -> DataFrame:
     """One row per event: first priced observation at or after the anchor, its index, price and status."""
     indexed = price_index(prices)
+    # The next priced observation is carried on every price row, so one sweep over the events finds it and the next row of any kind.
+    later = Window.partitionBy("instrument").orderBy(F.desc("price_index")).rowsBetween(Window.unboundedPreceding, 0)
+    carried = indexed.withColumn("priced", F.last(F.when(F.col("price").isNotNull(), F.struct("price_time", "price_index", "price")), ignorenulls=True).over(later))
     sides = events.select("event_id", "instrument", F.col(event_time).alias("event_time"), F.col(available_time).alias("available_time"), F.col(anchor).alias("anchor"))
-    priced = asof_frame(sides, indexed.where("price is not null"), left_time="anchor", right_time="price_time", by=["instrument"], forward=True)
-    first = priced.select("event_id", "instrument", "event_time", "available_time", "anchor", F.col("match.price_time").alias("anchor_time"), F.col("match.price_index").alias("anchor_index"), F.col("match.price").alias("anchor_price"), F.col("match.last_index").alias("last_index"))
-    any_row = asof_frame(sides.select("event_id", "instrument", "anchor"), indexed.select("instrument", "price_time", "price_index"), left_time="anchor", right_time="price_time", by=["instrument"], forward=True)
-    skipped = any_row.select("event_id", F.col("match.price_index").alias("eligible_index"))
+    met = asof_frame(sides, carried.select("instrument", "price_time", "price_index", "last_index", "priced"), left_time="anchor", right_time="price_time", by=["instrument"], forward=True)
+    priced = F.col("match.priced")
+    first = met.select("event_id", "instrument", "event_time", "available_time", "anchor", priced["price_time"].alias("anchor_time"), priced["price_index"].alias("anchor_index"), priced["price"].alias("anchor_price"), F.when(priced.isNotNull(), F.col("match.last_index")).alias("last_index"), F.col("match.price_index").alias("eligible_index"))
     known = indexed.select("instrument").distinct().withColumn("has_prices", F.lit(True))
-    out = first.join(skipped, "event_id").join(known, "instrument", "left")
+    out = first.join(known, "instrument", "left")
     status = F.when(F.col("anchor_index").isNotNull(), "aligned").when(F.col("has_prices"), "no_eligible_anchor").otherwise("no_instrument_prices")
     return out.select("event_id", "instrument", "event_time", "available_time", "anchor", "anchor_time", "anchor_index", "anchor_price", "last_index", (F.col("anchor_index") - F.col("eligible_index")).alias("skipped_null_prices"), status.alias("status"), (F.col("anchor_index") - before).alias("window_start"), (F.col("anchor_index") + after).alias("window_end"))
 

@@ -8,7 +8,7 @@ from math import isfinite, sqrt
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright import contracts as C
@@ -67,30 +67,52 @@ def sharpe_inference(data: DataFrame, *, value: str = "value", benchmark: float
     return Evidence(Metadata("validation.sharpe_inference", parameters={"benchmark": benchmark}), metrics, (finding,), {"trial_sharpes": [{"trial": i, "sharpe": float(v)} for i, v in enumerate(trial_sharpes or ())]})
 
 
+#: Equal parts of [0, 1] in which the step methods order p-values.
+_PARTS = 1024
+#: Trials up to which the harmonic number is summed; beyond it the expansion is exact to the last digit.
+_SUMMED = 64
+
+
+def _harmonic(m: Column) -> Column:
+    few = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(_SUMMED)).cast("int")), F.lit(0.0), lambda total, k: total + F.lit(1.0) / k)
+    x = m.cast("double")
+    return F.when(m <= _SUMMED, few).otherwise(F.log(x) + EULER_GAMMA + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6))
+
+
 def adjusted_frame(data: DataFrame, *, p_value: str = "p_value", trial: str = "trial_id", method: str = "bh", alpha: float = 0.05, effective_trials: float | None = None) -> DataFrame:
-    """``data`` with ``adjusted_p_value`` and ``rejected``, by windows over the trials.
+    """``data`` with ``adjusted_p_value`` and ``rejected``; the p-values are not null.
 
-    The step methods need the order of all p-values; trials are few, so one
-    window over them is enough.
+    Trials with equal p-values have equal adjusted ones, so only distinct
+    p-values with their counts are ordered: within equal parts of [0, 1], each
+    offset by what the parts before it hold.  No window spans all trials; the
+    one over the parts has ``_PARTS`` rows at most.
     """
     C.require_one_of(method, ("bonferroni", "holm", "bh", "by"), "method")
-    whole = Window.partitionBy()
-    up = Window.orderBy(p_value, trial)
-    m, p = F.count(F.lit(1)).over(whole), F.col(p_value)
-    rank = F.row_number().over(up)
+    p = F.col("__p")
+    distinct = data.groupBy(F.col(p_value).cast("double").alias("__p")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__part", F.least(F.floor(p * _PARTS), F.lit(_PARTS - 1)))
     if method == "bonferroni":
-        return data.withColumn("adjusted_p_value", F.least(F.lit(1.0), p * (F.lit(float(effective_trials)) if effective_trials else m))).withColumn("rejected", F.col("adjusted_p_value") <= alpha)
+        total = data.agg(F.count(F.lit(1)).alias("__m"))
+        out = data.crossJoin(F.broadcast(total)) if not effective_trials else data.withColumn("__m", F.lit(float(effective_trials)))
+        return out.withColumn("adjusted_p_value", F.least(F.lit(1.0), F.col(p_value) * F.col("__m"))).drop("__m").withColumn("rejected", F.col("adjusted_p_value") <= alpha)
+    parts, earlier = Window.partitionBy(), Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = distinct.groupBy("__part").agg(F.sum("__n").alias("__k")).select("__part", F.coalesce(F.sum("__k").over(earlier), F.lit(0)).alias("__before"), F.sum("__k").over(parts).alias("__m"))
+    rising = Window.partitionBy("__part").orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
+    placed = distinct.join(F.broadcast(sizes), "__part").withColumn("__last", F.col("__before") + F.sum("__n").over(rising))
+    m = F.col("__m")
     if method == "holm":
-        raw = data.withColumn("__raw", (m - rank + 1) * p)
-        adjusted = F.max("__raw").over(up.rowsBetween(Window.unboundedPreceding, 0))
+        # A run of equal values is led by its first, which has the largest factor; values never fall.
+        placed = placed.withColumn("__raw", (m - F.col("__last") + F.col("__n")) * p)
+        placed, pick, neighbours = placed.withColumn("__best", F.max("__raw").over(rising)), F.max, earlier
+        bound = F.greatest
     else:
-        harmonic = F.sum(F.lit(1.0) / rank).over(whole) if method == "by" else F.lit(1.0)
-        raw = data.withColumn("__rank", rank).withColumn("__m", m)
-        if method == "by":
-            harmonic = F.sum(F.lit(1.0) / F.col("__rank")).over(whole)
-        raw = raw.withColumn("__raw", p * F.col("__m") * harmonic / F.col("__rank")).drop("__rank", "__m")
-        adjusted = F.min("__raw").over(up.rowsBetween(0, Window.unboundedFollowing))
-    return raw.withColumn("adjusted_p_value", F.least(F.lit(1.0), adjusted)).withColumn("rejected", F.col("adjusted_p_value") <= alpha).drop("__raw")
+        # A run of equal values ends with its last, which has the smallest factor; values never rise on the way down.
+        placed = placed.withColumn("__raw", p * m * (_harmonic(m) if method == "by" else F.lit(1.0)) / F.col("__last"))
+        falling = Window.partitionBy("__part").orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, 0)
+        placed, pick, neighbours = placed.withColumn("__best", F.min("__raw").over(falling)), F.min, Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+        bound = F.least
+    edges = placed.groupBy("__part").agg(pick("__raw").alias("__edge")).select("__part", pick("__edge").over(neighbours).alias("__beyond"))
+    adjusted = placed.join(F.broadcast(edges), "__part").select("__p", F.least(F.lit(1.0), bound("__best", F.coalesce("__beyond", "__best"))).alias("adjusted_p_value"))
+    return data.join(adjusted, F.col(p_value).cast("double") == p).drop("__p").withColumn("rejected", F.col("adjusted_p_value") <= alpha)
 
 
 def multiple_testing(data: DataFrame, *, p_value: str = "p_value", trial: str = "trial_id", method: str = "bh", alpha: float = 0.05, effective_trials: float | None = None, null_policy: str = "raise") -> Evidence:

@@ -49,10 +49,10 @@ def _limit(tolerance: Any, kind: T.DataType) -> float:
 def asof_frame(left: DataFrame, right: DataFrame, *, left_time: str, right_time: str, by: Sequence[str], order: Sequence[str] = (), forward: bool = False, exact: bool = True) -> DataFrame:
     """Every left row with the struct ``match`` of the nearest right row per identity, or null.
 
-    Both sides are stacked and swept once per identity: a running last (or
-    first) over rows ordered by time, in which right rows come before left rows
-    of the same time exactly when an exact match counts.  One shuffle on the
-    identity, no pairs.
+    Both sides are stacked and swept once per identity: a running last over
+    rows ordered by time (falling for the next row), in which right rows come
+    before left rows of the same time exactly when an exact match counts.  One
+    shuffle on the identity, no pairs, time linear after the sort.
     """
     by = list(by)
     base = left.columns
@@ -60,12 +60,10 @@ def asof_frame(left: DataFrame, right: DataFrame, *, left_time: str, right_time:
     l = left.select(*[F.col(c).alias(f"__k{k}") for k, c in enumerate(by)], F.col(left_time).alias("__t"), F.lit(1).alias("__left"), F.struct(*[F.col(c) for c in base]).alias("__row"), F.lit(None).cast(right.select(right_row.alias("r")).schema["r"].dataType).alias("__match"), *[F.lit(None).cast(right.schema[c].dataType).alias(f"__o{k}") for k, c in enumerate(order)])
     r = right.where(F.col(right_time).isNotNull()).select(*[F.col(c).alias(f"__k{k}") for k, c in enumerate(by)], F.col(right_time).alias("__t"), F.lit(0).alias("__left"), F.lit(None).cast(l.schema["__row"].dataType).alias("__row"), right_row.alias("__match"), *[F.col(c).alias(f"__o{k}") for k, c in enumerate(order)])
     keys = [f"__k{k}" for k in range(len(by))]
-    side = F.col("__left") if exact != forward else -F.col("__left")
-    w = Window.partitionBy(*keys).orderBy(F.col("__t"), side, *[f"__o{k}" for k in range(len(order))])
-    if forward:
-        pick = F.first("__match", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    else:
-        pick = F.last("__match", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    side = F.col("__left") if exact else -F.col("__left")
+    turn = F.desc if forward else F.asc
+    w = Window.partitionBy(*keys).orderBy(turn("__t"), side, *[turn(f"__o{k}") for k in range(len(order))])
+    pick = F.last("__match", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     swept = l.unionByName(r).withColumn("match", pick).where("__left = 1")
     return swept.select("__row.*", "match")
 
