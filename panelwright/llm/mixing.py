@@ -45,7 +45,8 @@ def targets(sizes: DataFrame, *, weights: Sequence[float], budget: float, cap: f
     targets sum to ``budget`` times all sizes; that is where repeated resharing
     of the excess ends.  In order of ``cap * size / weight`` the level implied
     by capping all earlier sources is largest exactly where capping stops.
-    One row per source passes through this window.
+    One row per source passes through these windows, whose time is linear in the
+    number of sources.
     """
     by_name = Window.orderBy(F.col("source").isNull(), "source")
     place = ((F.row_number().over(by_name) - 1) % len(weights)).cast("int")
@@ -54,7 +55,8 @@ def targets(sizes: DataFrame, *, weights: Sequence[float], budget: float, cap: f
     whole = Window.partitionBy()
     filled = Window.orderBy(F.col("__cap") / F.col("__w"), "__key")
     before = F.sum("__cap").over(filled.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__cap")
-    rest = F.sum("__w").over(filled.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    falling = Window.orderBy((F.col("__cap") / F.col("__w")).desc(), F.col("__key").desc())
+    rest = F.sum("__w").over(falling.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     s = s.withColumn("__level", (F.lit(float(budget)) * F.sum("source_size").over(whole) - before) / rest)
     return s.withColumn("target", F.least(F.col("__w") * F.max("__level").over(whole), F.col("__cap"))).drop("__w", "__cap", "__level")
 
