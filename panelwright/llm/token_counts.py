@@ -8,6 +8,7 @@ then answer totals, quantiles and truncated totals for every context limit.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -18,9 +19,13 @@ from pyspark.sql import functions as F
 
 from panelwright.llm._text import slices
 
+#: Vocabulary file where neither a parameter nor the session's setting ``TOKENIZER_SETTING`` names one.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+TOKENIZER_SETTING = "spark.panelwright.tokenizer"
 #: Fixed value: the pre-tokenisation pattern that belongs to this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space (of the pattern's kind) in runs that the pattern's look-ahead would walk back through; they are cut out beforehand.
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{500,}")
 
 
 @lru_cache(maxsize=4)
@@ -32,18 +37,37 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def encoded_length(text: str, path: str = TOKENIZER, pattern: str = PATTERN) -> int:
+    """Tokens of a text of any length.
+
+    The pattern takes a run of white space but for its last character as one
+    piece, or all of it at the end of the text; the last one goes with what
+    follows.  So a long run is encoded as that piece, apart from the rest,
+    and no token differs.
+    """
+    encoding = _encoding(path, pattern)
+    total, at = 0, 0
+    for m in _RUN.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        total += len(encoding.encode_ordinary(text[at : m.start()])) + len(encoding._encode_single_piece(text[m.start() : end]))
+        at = end
+    return total + len(encoding.encode_ordinary(text[at:]))
+
+
 def encoded_lengths(texts: Sequence[str], path: str = TOKENIZER, pattern: str = PATTERN) -> list[int]:
-    encode = _encoding(path, pattern).encode_ordinary
-    return [len(encode(t)) for t in texts]
+    return [encoded_length(t, path, pattern) for t in texts]
 
 
-def length_histogram(docs: DataFrame, *, text: str = "text", tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
+def length_histogram(docs: DataFrame, *, text: str = "text", tokenizer: str | None = None, pattern: str = PATTERN) -> DataFrame:
     """``length long, docs long``: how many rows encode to each length.
 
     Every row counts, repeated ones too.  A null or empty text has length 0.
-    Text that looks like a special token is ordinary text.  An empty table
-    gives an empty histogram.  The vocabulary file is read on the executors.
+    Text that looks like a special token is ordinary text.  Texts of any length
+    are encoded whole.  An empty table gives an empty histogram.  The
+    vocabulary file (``tokenizer``, else the session's ``TOKENIZER_SETTING``,
+    else ``TOKENIZER``) is read on the executors.
     """
+    tokenizer = tokenizer or docs.sparkSession.conf.get(TOKENIZER_SETTING, TOKENIZER)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = np.zeros(0, dtype=np.int64)
@@ -66,16 +90,19 @@ def limit_table(histogram: DataFrame) -> DataFrame:
 
     Adds ``tokens`` (of the documents of that length), ``docs_longer`` and
     ``tokens_longer`` (suffix sums over greater lengths), ``total_docs``,
-    ``total_tokens`` and ``truncated_tokens``, the sum of min(length, limit)
-    over all documents.  The window spans the distinct lengths, whose number
-    the longest document bounds, not the number of documents.
+    ``total_tokens``, ``truncated_tokens``, the sum of min(length, limit) over
+    all documents, and ``quantile``, the share of documents that are not longer.
+    The windows span the distinct lengths, whose number the longest document
+    bounds (and the root of twice the total tokens), not the number of
+    documents.
     """
     above = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = Window.partitionBy()
     zero = F.lit(0)
     h = histogram.withColumn("tokens", F.col("length") * F.col("docs"))
     h = h.withColumns({"docs_longer": F.coalesce(F.sum("docs").over(above), zero), "tokens_longer": F.coalesce(F.sum("tokens").over(above), zero), "total_docs": F.sum("docs").over(whole), "total_tokens": F.sum("tokens").over(whole)})
-    return h.withColumn("truncated_tokens", F.col("total_tokens") - F.col("tokens_longer") + F.col("length") * F.col("docs_longer"))
+    h = h.withColumn("truncated_tokens", F.col("total_tokens") - F.col("tokens_longer") + F.col("length") * F.col("docs_longer"))
+    return h.withColumn("quantile", (F.col("total_docs") - F.col("docs_longer")) / F.col("total_docs"))
 
 
 def truncated_total(limits: DataFrame, limit: int) -> int:
