@@ -28,13 +28,13 @@ def _query(name: str, sql: str | None = None):
     return register
 
 
-LINE_DEDUP_SQL = """
+LINE_DEDUP_SQL = r"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
-pages AS (SELECT DISTINCT source, coalesce(text, '') AS text FROM documents),
-total AS (SELECT source, count(*) AS n FROM pages GROUP BY source),
-line AS (SELECT source, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM pages),
-often AS (SELECT source, line, count(*) AS n FROM line WHERE trim(line) <> '' GROUP BY ALL HAVING count(*) >= 10),
-bad AS (SELECT o.source, list(o.line) AS drops FROM often o JOIN total t ON o.source IS NOT DISTINCT FROM t.source WHERE o.n > CAST(0.1 AS DOUBLE) * t.n GROUP BY o.source),
+pages AS (SELECT source, coalesce(text, '') AS text, count(*) AS copies FROM documents GROUP BY ALL),
+total AS (SELECT source, sum(copies) AS n FROM pages GROUP BY source),
+line AS (SELECT source, copies, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM pages),
+often AS (SELECT source, line, sum(copies) AS n FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY source, line HAVING count(*) >= 3),
+bad AS (SELECT o.source, list(o.line) AS drops FROM often o JOIN total t ON o.source IS NOT DISTINCT FROM t.source WHERE CAST(o.n AS DOUBLE) > CAST(0.005 AS DOUBLE) * CAST(t.n AS DOUBLE) GROUP BY o.source),
 k AS (SELECT d.doc_id, d.text, d.ls, b.drops, list_filter(d.ls, lambda x: NOT list_contains(b.drops, x)) AS kept FROM d LEFT JOIN bad b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id,
   CASE WHEN text IS NULL OR drops IS NULL THEN text ELSE coalesce(array_to_string(kept, chr(10)), '') END AS text,
