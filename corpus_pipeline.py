@@ -3,7 +3,8 @@
 Each stage works on everything that its predecessor kept.  All stages but the
 last return the columns of ``documents``; the last returns what the mix takes
 of each document.  Between stages the documents are written as Parquet to the
-folder that the cluster shares and read again.
+folder that the cluster shares and read again; what a stage wrote besides, and
+its input, is removed then.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm import decontamination, line_dedup, mixing, ngram_join, quality_rules
-from panelwright.llm._storage import materialize
+from panelwright.llm._storage import Stages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,13 +25,9 @@ def reject_by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return quality_rules.keep_good(docs, _table(spark, sf_dir, "labels"))
 
 
-#: Share of a source's distinct pages above which a line goes, and pages it must stand on at least; the measured shares are in the README.
-LINE_RATIO, LINE_PAGES = 0.005, 3
-
-
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that more than ``LINE_RATIO`` of a source's distinct pages share, and ``LINE_PAGES`` at least, go; ``n_chars`` follows the text."""
-    return line_dedup.drop_boilerplate(docs, ratio=LINE_RATIO, min_pages=LINE_PAGES).withColumn("n_chars", F.length("text").cast("long"))
+    """Lines that too large a share of a source's pages have go; ``n_chars`` follows the text."""
+    return line_dedup.drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +58,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs, stages = _table(spark, sf_dir, "documents"), Stages(spark)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = stages.keep(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
