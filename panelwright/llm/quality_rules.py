@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm._storage import bounded_sample, materialize
+from panelwright.llm._storage import bounded_sample, broadcast_if_small, materialize
 from panelwright.llm._text import IS_HEAD, IS_WORD, Hasher, mix, ngrams, per_row, slices, spans
 
 #: Fixed values of the base contract.
@@ -25,6 +25,9 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 
+#: Labels that rules are learned from, at most; chosen by a hash of the id.
+MAX_LABELLED = 20_000
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_marks", "n_lines")
 #: What rules may test: name to an expression over the counts, the same for columns and arrays.
 FEATURES = {
@@ -108,19 +111,21 @@ def _line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, limits[np.searchsorted(limits, starts, side="right")] if len(starts) else starts
 
 
-def document_counts(docs: DataFrame, *, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and the counts of each row's whole text (all 0 for null or empty); texts are not shuffled."""
+def document_counts(docs: DataFrame, *, text: str = "text", keep: Sequence[str] = ("doc_id",), with_text: bool = False) -> DataFrame:
+    """``keep`` columns and the counts of each row's whole text (all 0 for null or empty), with ``__text`` if wanted; texts are not shuffled."""
     keep = list(keep)
+    first = 0 if with_text else 1
+    names = [*(["__text"] if with_text else []), *keep, *COUNTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 counts = count_text(part.column(0))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *(pa.array(counts[c], pa.int64()) for c in COUNTS)], names=[*keep, *COUNTS])
+                yield pa.RecordBatch.from_arrays([*part.columns[first:], *(pa.array(counts[c], pa.int64()) for c in COUNTS)], names=names)
 
     selected = docs.select(F.col(text).cast("string").alias("__text"), *keep)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [f"{c} long" for c in COUNTS])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in selected.select(names[: len(names) - len(COUNTS)]).schema] + [f"{c} long" for c in COUNTS])
     return selected.mapInArrow(run, schema)
 
 
@@ -185,8 +190,10 @@ def learn_rules(x: pd.DataFrame, bad: np.ndarray, *, max_rules: int = 16, max_te
     larger part until it covers no good row, drops final tests while that
     raises (bad - good) / (bad + good) on the other part, and accepts the rule
     when it is precise enough over all rows left.  It stops at the first
-    rule that is not, or when no bad row is left.  No labels, or labels of one
-    kind only, give no rules.
+    rule that is not, when no bad row is left, or when the list has
+    ``max_rules``: what later rules would have covered is then kept.  A rule
+    has at most ``max_tests`` tests.  No labels, or labels of one kind only,
+    give no rules.
     """
     rules: list[Rule] = []
     left = np.arange(len(x))
@@ -220,13 +227,20 @@ def learn_rules(x: pd.DataFrame, bad: np.ndarray, *, max_rules: int = 16, max_te
     return rules
 
 
-def labelled_features(counts: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", label: str = "quality", max_labelled: int = 20_000) -> tuple[pd.DataFrame, np.ndarray]:
-    """Feature rows of at most ``max_labelled`` labelled documents that pass the base rules, chosen by a hash of the id, and whether each is bad (label 0)."""
-    given = labels.select(F.col(doc_id).alias("__id"), F.col(label).alias("__label")).dropna()
-    rows = counts.where(~base_failed()).join(given, F.col(doc_id) == F.col("__id")).select("__id", "__label", *COUNTS)
-    p = bounded_sample(rows, "__id", max_labelled).toPandas()
+def label_sample(labels: DataFrame, *, doc_id: str = "doc_id", label: str = "quality", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """``__id, __label`` of at most ``max_labelled`` labels, chosen by a hash of the id; null ids and labels are left out."""
+    given = labels.select(F.col(doc_id).alias("__id"), F.col(label).alias("__label")).dropna().distinct()
+    return materialize(bounded_sample(given, "__id", max_labelled), "quality-labels")
+
+
+def labelled_features(counts: DataFrame, sample: DataFrame, *, doc_id: str = "doc_id") -> tuple[pd.DataFrame, np.ndarray]:
+    """Feature rows of the sampled documents that pass the base rules, one for each label however often its document is repeated, and whether each is bad (label 0)."""
+    rows = counts.where(~base_failed()).join(broadcast_if_small(sample), F.col(doc_id) == F.col("__id")).select("__id", "__label", F.struct(*COUNTS).alias("c"))
+    p = rows.groupBy("__id", "__label").agg(F.min("c").alias("c")).select("__id", "__label", "c.*").toPandas().sort_values(["__id", "__label"], ignore_index=True)
     c = {k: p[k].to_numpy(dtype=float) for k in COUNTS}
-    return pd.DataFrame({k: f(c) for k, f in FEATURES.items()}), p["__label"].to_numpy(dtype=float) == 0
+    order = np.argsort(mix(pd.util.hash_array(p["__id"].to_numpy())), kind="stable")
+    x = pd.DataFrame({k: f(c) for k, f in FEATURES.items()})
+    return x.iloc[order].reset_index(drop=True), p["__label"].to_numpy(dtype=float)[order] == 0
 
 
 def rejected_by(rules: Sequence[Rule]) -> Column:
@@ -237,40 +251,34 @@ def rejected_by(rules: Sequence[Rule]) -> Column:
     return (chain.otherwise(F.lit(None)) if chain is not None else F.lit(None)).cast("int")
 
 
-def judge(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] | None = None, max_labelled: int = 20_000) -> tuple[DataFrame, list[Rule]]:
+def judge(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] | None = None, max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, list[Rule]]:
     """Counts, ``base_failed``, ``rule`` and ``kept`` of every row, and the rules.
 
     Null, empty and short texts fail the base rules.  Repeated rows are judged
     alike.  Rows whose id is null have no label but are judged.  Labels that
     are null or have no document are ignored; without usable labels only the
-    base rules decide.  An empty table gives an empty result.
+    base rules decide.  Texts of any length are counted whole.  An empty table
+    gives an empty result.
     """
     counts = materialize(document_counts(docs, text=text, keep=keep or (doc_id,)), "quality-counts")
-    x, bad = labelled_features(counts, labels, doc_id=doc_id, max_labelled=max_labelled)
+    x, bad = labelled_features(counts, label_sample(labels, doc_id=doc_id, max_labelled=max_labelled), doc_id=doc_id)
     rules = learn_rules(x, bad) if len(x) else []
     judged = counts.withColumn("base_failed", base_failed()).withColumn("rule", F.when(~F.col("base_failed"), rejected_by(rules)))
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()), rules
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_labelled: int = 20_000) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns.
+def keep_good(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns; the verdicts are those of ``judge``.
 
-    Rules are learned from the counts; they are then applied in the same pass
-    that reads the texts, so that no text is shuffled.
+    The rules are learned from the sampled documents alone; one pass over the
+    corpus then counts every text and applies the list as a conditional
+    expression.  No text is shuffled.
     """
-    _, rules = judge(docs, labels, doc_id=doc_id, text=text, max_labelled=max_labelled)
-    names = list(docs.columns)
-    schema = docs.schema
-
-    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                c = count_text(part.column(names.index(text)))
-                x = pd.DataFrame({k: f({n: v.astype(float) for n, v in c.items()}) for k, f in FEATURES.items()})
-                good = ~((c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEATED_PERCENT * c["n_words"]))
-                for rule in rules:
-                    good &= ~rule.matches(x)
-                yield part.filter(pa.array(good))
-
-    return docs.mapInArrow(flag, schema)
+    sample = label_sample(labels, doc_id=doc_id, max_labelled=max_labelled)
+    known = docs.join(broadcast_if_small(sample.select(F.col("__id").alias("__known")).distinct()), F.col(doc_id) == F.col("__known"), "left_semi")
+    x, bad = labelled_features(document_counts(known.select(F.col(doc_id).alias("__doc"), F.col(text)), text=text, keep=("__doc",)), sample, doc_id="__doc")
+    rules = learn_rules(x, bad) if len(x) else []
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    counts = document_counts(docs.select(F.col(text), F.struct(F.lit(0).alias("__none"), *others).alias("__row")), text=text, keep=("__row",), with_text=True)
+    kept = counts.where(~base_failed() & rejected_by(rules).isNull())
+    return kept.select(*[F.col("__text").cast(docs.schema[c].dataType).alias(c) if c == text else F.col(f"__row.`{c}`") for c in docs.columns])

@@ -61,3 +61,10 @@ def test_heavier_documents_come_first(docs):
     got = mixing.mix(docs(rows), weight=weight, budget=0.5, cap=2.0).where("source = 's'").collect()
     heavy = sum(r.taken for r in got if r.doc_id % 2 == 0)
     assert heavy > 2 * sum(r.taken for r in got if r.doc_id % 2)
+
+
+def test_very_long_texts(docs):
+    rows = [(1, "w " * 3_000_000, "s"), (2, "x" * 10_000_000, "s"), (3, " " * 10_000_000, "t"), (4, "\n" * 5_000_000 + "end", "t")]
+    got = {r.doc_id: r for r in mixing.mix(docs(rows)).collect()}
+    assert [got[k]["size"] for k in range(1, 5)] == [3_000_000, 1, 0, 1]
+    assert abs(sum(r.taken for r in got.values()) - 1.5 * 3_000_002) <= 2

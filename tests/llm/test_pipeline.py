@@ -1,7 +1,11 @@
+import os
 import re
 
+import pytest
+
+import __spark_entry__ as entry
 import corpus_pipeline as P
-from panelwright.llm import catalog
+from panelwright.llm import _storage
 from panelwright.llm import decontamination as D
 
 
@@ -29,9 +33,34 @@ def test_run_equals_the_stages(spark, sf_dir):
     assert sorted(P.run(spark, sf_dir).collect()) == sorted(docs.collect())
 
 
+def test_a_run_leaves_one_stage(spark, sf_dir):
+    folder = _storage._application_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    mix = P.run(spark, sf_dir)
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert {x for x in left if x.startswith("stage-")} == {"stage-decontamination"} and all(x.startswith(("stage-", "mix-")) for x in left)
+    assert mix.count() > 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return Session.conf
+
+    with pytest.raises(RuntimeError, match="shares"):
+        _storage.shared_dir(Session)
+
+
 def test_every_operator_is_registered():
-    numbers = {m[1] for q in catalog.QUERIES if (m := re.match(r"op(\d+)_", q))}
-    assert numbers == {str(k) for k in range(1, 11)} and "pipeline" in catalog.QUERIES
+    numbers = {m[1] for q in entry.queries() if (m := re.match(r"op(\d+)_", q))}
+    assert numbers == {str(k) for k in range(1, 11)} and entry.queries()["pipeline"] is P.run
 
 
 def test_lines_on_a_small_share_of_a_large_source_go(spark, sf_dir, docs):

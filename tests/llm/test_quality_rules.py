@@ -79,6 +79,29 @@ def test_judge_and_keep_agree(spark, docs, prose):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(k if k is not None else -1 for (k, _, _), v in zip(rows, [verdict[k, len(WORD.findall(t or ""))] for k, t, _ in rows], strict=True) if v)
 
 
+def test_the_list_is_an_ordered_spark_conditional(spark, docs, prose):
+    from pyspark.sql import functions as F
+
+    rules = [Q.Rule((("n_words", ">=", 90.0),)), Q.Rule((("n_words", ">=", 70.0), ("upper_share", "<=", 0.5)))]
+    counts = Q.document_counts(docs([(i, prose(i, 50 + i), "s") for i in range(60)]))
+    got = {r.doc_id: r.rule for r in counts.withColumn("rule", Q.rejected_by(rules)).collect()}
+    assert got == {i: 1 if i >= 40 else 2 if i >= 20 else None for i in range(60)}
+    assert counts.select(Q.rejected_by([]).alias("r")).where("r is not null").count() == 0
+
+
+def test_one_document_that_repeats_is_one_example(spark, docs, prose):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    table = docs([(i % 20, prose(i % 20, 60), "s") for i in range(400)])
+    x, bad = Q.labelled_features(Q.document_counts(table), Q.label_sample(labels))
+    assert len(x) == 20 and bad.sum() == 10
+
+
+def test_very_long_texts(docs):
+    got = {r.doc_id: r for r in Q.document_counts(docs([(1, " " * 10_000_000, "s"), (2, "x" * 10_000_000, "s"), (3, "ab \n" * 2_000_000, "s"), (4, "#" * 3_000_000 + " é", "s")])).collect()}
+    assert (got[1].n_words, got[2].word_chars, got[3].n_words, got[3].n_dup_lines, got[3].n_repeat_words) == (0, 10_000_000, 2_000_000, 1_999_999, 2_000_000)
+    assert (got[4].n_symbols, got[4].word_chars, got[4].n_words) == (3_000_000, 3_000_001, 2)
+
+
 def test_without_labels_only_base_rules(spark, docs, prose):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     judged, rules = Q.judge(docs([(1, prose(1, 60), "s"), (2, "a", "s")]), labels)
