@@ -8,20 +8,21 @@ Myers' bit-parallel edit distance.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Edits allowed per character of an item.
 MAX_ERROR = 0.06
-#: Items shorter than this, once normalised, must occur exactly.
-EXACT_BELOW = 20
-#: Characters of items searched for in one pass; more items take more passes.
-BLOCK_CHARS = 8_000_000
+#: Characters of items that a task searches for at a time; it goes over its documents slab by slab, block by block.
+BLOCK_CHARS, SLAB_BYTES = 8_000_000, 64_000_000
 
 
 def normalize(text: str | None) -> str:
@@ -30,7 +31,8 @@ def normalize(text: str | None) -> str:
 
 
 def budget(length: int, max_error: float = MAX_ERROR) -> int:
-    return int(length * max_error) if length >= EXACT_BELOW else 0
+    """Edits allowed in an item of ``length`` characters: below 1 / ``max_error`` none."""
+    return int(length * max_error)
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -65,116 +67,164 @@ def edit_distance_within(pattern: str, text: str) -> tuple[int, int]:
         minus = up & zero
         if score < best:
             best, end = score, j
+            if not best:
+                break
     return best, end
 
 
 class Matcher:
     """All items of a block, ready for search."""
 
-    def __init__(self, items: list[tuple[int, str]], max_error: float):
+    def __init__(self, items: list[tuple[object, str]], max_error: float):
         import ahocorasick
 
         self.items = [(i, t, budget(len(t), max_error)) for i, t in items if t]
-        found: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        # For each piece the items that hold it, with its first and last offset there.
+        found: dict[str, dict[int, tuple[int, int]]] = defaultdict(dict)
         for at, (_, t, k) in enumerate(self.items):
             for offset, piece in pieces(t, k):
-                found[piece].append((at, offset))
+                first, last = found[piece].get(at, (offset, offset))
+                found[piece][at] = (min(first, offset), max(last, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, where in found.items():
-            self.automaton.add_word(piece, (len(piece), where))
+            self.automaton.add_word(piece, (len(piece), [(at, first, last) for at, (first, last) in where.items()]))
         if found:
             self.automaton.make_automaton()
         self.empty = not found
+        self._widths = [max(2 * k + 1, len(t)) for _, t, k in self.items]
 
-    def search(self, text: str | None) -> list[tuple[int, int, int]]:
-        """``(item, distance, end)`` for each item within its budget; the end is that of its first best occurrence in the normalised text."""
+    def search(self, text: str | None) -> list[tuple[object, int, int]]:
+        """``(item, distance, end)`` for each item within its budget; the end is that of its first best occurrence in the normalised text.
+
+        Hits only mark stretches of the text in which an occurrence may begin,
+        as long as the item each, so what is held is bounded by the text.
+        """
         if self.empty or not text:
             return []
         text = normalize(text)
-        starts: dict[int, set[int]] = defaultdict(set)
+        stretches: dict[int, set[int]] = defaultdict(set)
         for last, (size, where) in self.automaton.iter(text):
-            for at, offset in where:
-                starts[at].add(last + 1 - size - offset)
+            begin = last + 1 - size
+            for at, low, high in where:
+                width = self._widths[at]
+                marked = stretches[at]
+                for s in range((begin - high) // width, (begin - low) // width + 1):
+                    marked.add(s)
         out = []
-        for at, places in starts.items():
+        for at, marked in stretches.items():
             item, pattern, k = self.items[at]
             best = None
-            for a, b in _regions(sorted(places), k):
+            for a, b in _regions(sorted(marked), self._widths[at]):
                 lo = max(0, a - k)
                 distance, end = edit_distance_within(pattern, text[lo : b + len(pattern) + k])
                 if distance <= k and (best is None or distance < best[0]):
                     best = (distance, lo + end)
             if best:
                 out.append((item, *best))
-        return sorted(out)
+        return out
 
 
-def _regions(starts: list[int], k: int) -> Iterator[tuple[int, int]]:
-    """Ranges of starts that lie within ``2 * k`` of one another."""
+def _regions(marked: list[int], width: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs of adjacent stretches."""
     a = b = None
-    for s in starts:
-        if b is None or s > b + 2 * k:
+    for s in marked:
+        if b is None or s > b + 1:
             if b is not None:
-                yield a, b
+                yield a * width, (b + 1) * width
             a = s
         b = s
     if b is not None:
-        yield a, b
+        yield a * width, (b + 1) * width
+
+
+@lru_cache(maxsize=2)
+def _matcher(key: str, max_error: float, items: _Items) -> Matcher:
+    return Matcher(items.value, max_error)
+
 
+class _Items:
+    """A broadcast block; equal to any other, since the key tells blocks apart."""
 
-@lru_cache(maxsize=8)
-def _matcher(items: tuple[tuple[int, str], ...], max_error: float) -> Matcher:
-    return Matcher(list(items), max_error)
+    def __init__(self, shared: Broadcast):
+        self._shared = shared
 
+    @property
+    def value(self) -> list[tuple[object, str]]:
+        return self._shared.value
 
-def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[tuple[tuple[int, str], ...]]:
-    """Items in blocks of about ``BLOCK_CHARS``, normalised; those that are null, or have no text, match nothing."""
-    given = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).dropna()
+    def __eq__(self, other: object) -> bool:
+        return True
+
+    def __hash__(self) -> int:
+        return 0
+
+
+def _blocks(items: DataFrame, item_id: str, text: str) -> list[tuple[str, Broadcast]]:
+    """Items in blocks of about ``BLOCK_CHARS``, normalised and broadcast one by one; those without text match nothing."""
+    spark = items.sparkSession
+    given = items.select(F.col(item_id).alias("i"), F.col(text).cast("string").alias("t")).where("t is not null")
     size = given.agg(F.sum(F.length("t"))).collect()[0][0] or 0
     n = 1 + int(size // BLOCK_CHARS)
+    out = []
     for b in range(n):
-        part = given.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b).orderBy("i", "t").collect()
-        yield tuple((r["i"], x) for r in part if (x := normalize(r["t"])))
+        part = given.where(F.pmod(F.xxhash64("t"), F.lit(n)) == b).orderBy("t", "i").collect()
+        block = [(r["i"], x) for r in part if (x := normalize(r["t"]))]
+        if block:
+            out.append((uuid.uuid4().hex, spark.sparkContext.broadcast(block)))
+    return out
+
+
+def _searched(batches: Iterator[pa.RecordBatch], at: int, blocks: list[tuple[str, Broadcast]], max_error: float) -> Iterator[tuple[pa.RecordBatch, list[dict]]]:
+    """Each batch with, for each of its rows, the items its text contains: id to least distance and end."""
+    held: list[tuple[pa.RecordBatch, list[dict]]] = []
+
+    def flush() -> Iterator[tuple[pa.RecordBatch, list[dict]]]:
+        for key, shared in blocks:
+            search = _matcher(key, max_error, _Items(shared)).search
+            for batch, found in held:
+                for k, value in enumerate(batch.column(at)):
+                    for item, distance, end in search(value.as_py()):
+                        found[k][item] = min(found[k].get(item, (distance, end)), (distance, end))
+        yield from held
+        held.clear()
+
+    for batch in batches:
+        held.append((batch, [{} for _ in range(batch.num_rows)]))
+        if len(blocks) < 2 or sum(b.nbytes for b, _ in held) >= SLAB_BYTES:
+            yield from flush()
+    yield from flush()
 
 
 def matches(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_error: float = MAX_ERROR) -> DataFrame:
     """``doc_id, item_id, distance, end``: every item that a document contains within the item's error budget.
 
-    One row per row of ``docs`` and item, with the least distance.  Null or
-    empty texts contain nothing; an id may be null and is passed through;
-    repeated rows are matched alike; items that share an id are matched one by
-    one, and the best is reported.  Empty tables give an empty result.  The
-    items go to the executors block by block; documents are not shuffled.
+    One row per row of ``docs`` and item id, with the least distance.  Null or
+    empty texts contain nothing; ids of both sides may be of any type or null
+    and are passed through; repeated rows are matched alike; of items that
+    share an id (or have none) the best is reported.  Texts of any length are
+    searched whole.  Empty tables give an empty result.  The items go to the
+    executors in broadcast blocks; the documents are read once and not shuffled.
     """
-    kind = docs.schema[doc_id].dataType
-    schema = f"doc_id {kind.simpleString()}, item_id long, distance int, end long"
-    out = None
-    for block in _blocks(items, item_id, item_text):
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            search = _matcher(block, max_error).search
-            for batch in batches:
-                rows: dict[tuple[int, int], tuple[int, int]] = {}
-                for k, value in enumerate(batch.column(1)):
-                    for item, distance, end in search(value.as_py()):
-                        rows[k, item] = min(rows.get((k, item), (distance, end)), (distance, end))
-                at = pa.array([k for k, _ in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([i for _, i in rows], pa.int64()), pa.array([d for d, _ in rows.values()], pa.int32()), pa.array([e for _, e in rows.values()], pa.int64())], names=["doc_id", "item_id", "distance", "end"])
+    blocks = _blocks(items, item_id, item_text)
+    kinds = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    own = items.select(F.col(item_id).alias("item_id")).schema
+    id_kind = to_arrow_type(own["item_id"].dataType)
 
-        part = docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in _searched(batches, 1, blocks, max_error):
+            rows = [(k, item, *hit) for k, x in enumerate(found) for item, hit in sorted(x.items(), key=repr)]
+            at, ids, distance, end = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids, id_kind), pa.array(distance, pa.int32()), pa.array(end, pa.int64())], names=["doc_id", "item_id", "distance", "end"])
+
+    return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, end long")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_error: float = MAX_ERROR) -> DataFrame:
-    """The rows of ``docs`` that contain no item, with all their columns; null and empty texts contain none."""
-    at = docs.columns.index(text)
-    for block in _blocks(items, item_id, item_text):
+    """The rows of ``docs`` that contain no item, with all their columns; null and empty texts contain none, and items without an id count like any other."""
+    at, blocks = docs.columns.index(text), _blocks(items, item_id, item_text)
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            search = _matcher(block, max_error).search
-            for batch in batches:
-                yield batch.filter(pa.array([not search(value.as_py()) for value in batch.column(at)], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in _searched(batches, at, blocks, max_error):
+            yield batch.filter(pa.array([not x for x in found], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema) if blocks else docs

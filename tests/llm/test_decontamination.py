@@ -1,4 +1,5 @@
 import random
+import time
 
 from panelwright.llm import decontamination as D
 
@@ -47,6 +48,7 @@ def test_finds_every_item_within_budget(spark, docs, prose):
     got = [(x.doc_id, x.item_id) for x in D.matches(table, bench).collect()]
     assert want and set(got) - {(None, 0), (52, 11)} == want
     assert got.count((52, 11)) == 2 and (None, 0) in got
+    assert {(x.item_id, x.distance) for x in D.matches(table.where("doc_id = 52"), bench).collect()} == {(11, 0)}
     clean = D.drop_contaminated(table, bench)
     assert clean.columns == table.columns
     assert sorted(x.doc_id for x in clean.collect()) == sorted(k for k, _, _ in rows if k is not None and k != 52 and k not in {d for d, _ in want})
@@ -57,6 +59,34 @@ def test_several_blocks_and_empty_tables(spark, docs, prose, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     table = docs([(k, t, "s") for k, t in items])
     monkeypatch.setattr(D, "BLOCK_CHARS", 200)
+    monkeypatch.setattr(D, "SLAB_BYTES", 300)
+    assert len(D._blocks(bench, "item_id", "text")) > 2
     assert {(x.doc_id, x.item_id) for x in D.matches(table, bench).collect()} == {(k, k) for k in range(5)}
     assert D.drop_contaminated(table, bench).count() == 0
     assert D.matches(docs([]), bench).count() == 0 and D.matches(table, bench.where("item_id < 0")).count() == 0
+
+
+def test_ids_of_any_kind_and_none(spark, docs, prose):
+    bench = spark.createDataFrame([("a", prose(1, 20)), (None, prose(2, 20)), (None, prose(3, 20)), ("b", None)], "item_id string, text string")
+    table = docs([(1, prose(1, 20), "s"), (2, prose(2, 20), "s"), (3, prose(3, 20), "s"), (4, prose(4, 20), "s")])
+    assert sorted((x.doc_id, x.item_id) for x in D.matches(table, bench).collect()) == [(1, "a"), (2, None), (3, None)]
+    assert [x.doc_id for x in D.drop_contaminated(table, bench).collect()] == [4]
+
+
+def test_short_items_have_the_same_budget():
+    assert [D.budget(n) for n in (1, 16, 17, 33, 34, 100)] == [0, 0, 1, 1, 2, 6]
+    matcher = D.Matcher([(1, "abcdefghij klmnop")], D.MAX_ERROR)
+    assert [len(matcher.search(t)) for t in ("xx abcdefgh-j klmnop", "xx abcdefghj klmnop x", "xx abcdef--ij klmnop")] == [1, 1, 0]
+
+
+def test_very_long_texts():
+    began = time.monotonic()
+    item = D.normalize("the quick brown fox jumps over the lazy dog and then sleeps under the old tree")
+    matcher = D.Matcher([(1, item), (2, "a" * 120), (3, "ab" * 40)], D.MAX_ERROR)
+    assert [x[0] for x in matcher.search("z " * 1_000_000 + item.replace("fox", "fix") + " z" * 1_000_000)] == [1]
+    assert matcher.search("a" * 2_000_000) == [(2, 0, 120)]
+    assert matcher.search(" " * 10_000_000) == [] and matcher.search("\n" * 10_000_000 + "x") == []
+    assert [x[:2] for x in matcher.search("ab" * 1_000_000)] == [(3, 0)]
+    # No occurrence within the budget, but hits everywhere.
+    assert matcher.search(("a" * 60 + "b" * 20) * 2_000) == []
+    assert time.monotonic() - began < 120
