@@ -73,6 +73,28 @@ def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
     return out
 
 
+@dataclass
+class State:
+    """Parameters with the optimiser's averages of gradients and squares, and its steps."""
+
+    params: dict[str, np.ndarray]
+    m: dict[str, np.ndarray]
+    v: dict[str, np.ndarray]
+    steps: int
+
+    @classmethod
+    def begin(cls, params: dict[str, np.ndarray]) -> State:
+        zero = {k: np.zeros_like(x) for k, x in params.items()}
+        return cls(params, zero, zero, 0)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([pack(x) for x in (self.params, self.m, self.v)])
+
+    @classmethod
+    def from_flat(cls, flat: np.ndarray, steps: int, like: dict[str, np.ndarray]) -> State:
+        return cls(*(unpack(x, like) for x in np.split(flat, 3)), steps)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -128,11 +150,14 @@ def _loss_gradient(p: dict[str, np.ndarray], shape: Shape, h: np.ndarray, y: np.
 class Trainer:
     """Truncated backpropagation through time with Adam; the state is carried from window to window."""
 
-    def __init__(self, p: dict[str, np.ndarray], shape: Shape, rate: float = 0.004):
-        self.p, self.shape, self.rate = {k: v.copy() for k, v in p.items()}, shape, rate
-        self.m = {k: np.zeros_like(v) for k, v in p.items()}
-        self.v = {k: np.zeros_like(v) for k, v in p.items()}
-        self.t, self.tokens = 0, 0
+    def __init__(self, p: dict[str, np.ndarray], shape: Shape, rate: float = 0.004, state: State | None = None):
+        state = state or State.begin(p)
+        self.shape, self.rate = shape, rate
+        self.p, self.m, self.v = ({k: x.copy() for k, x in part.items()} for part in (p, state.m, state.v))
+        self.t, self.tokens = state.steps, 0
+
+    def state(self) -> State:
+        return State(self.p, self.m, self.v, self.t)
 
     def learn(self, symbols: np.ndarray, firsts: np.ndarray) -> None:
         """One pass over a stream of documents; ``firsts`` flags the first token of each."""

@@ -1,17 +1,24 @@
 """LM scoring: whole-document log probability under a gated recurrent model.
 
-Three passes over the text.  Training words are counted (one shuffle of words
-and counts).  The model then starts as the unigram model and is trained in
-rounds: in each round every task trains a replica on its own share of the
-training documents, and the replicas are averaged, weighted by tokens; each
-training document is used in exactly one round.  Last, every document is scored
-where it is read; only words outside the bounded table of frequent ones are
-shuffled, to meet their counts.
+Training words are counted first (one shuffle of words and counts); the model
+starts as the unigram model.  Training documents are dealt by hash to streams,
+whose number follows from the number of training tokens, and to rounds.  In
+each round a replica of the model learns each stream's documents, in the order
+of a hash; then the replicas and the state of their optimiser are averaged,
+weighted by tokens.  A small share of the training documents is only counted:
+a round after which the model predicts them worse is undone and ends the
+training.  So the model depends on the documents alone, not on the files or
+partitions they lie in, and a replica's share does not shrink as the corpus
+grows.  Last, every document is scored where it is read; only words outside the
+bounded table of frequent ones are shuffled, to meet their counts.
+
+Words are 64-bit hashes: with v distinct words two of them share a count with a
+probability of about v * v / 2 ** 65.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +36,13 @@ from panelwright.llm._text import Hasher, slices, spans
 HEAD, WIDTH = 2048, 64
 #: Words whose counts every task holds; the rest meets its counts in a join.
 TABLE = 1 << 18
-ROUNDS = 2
+ROUNDS = 4
+#: Step length of the optimiser.
+RATE = 0.004
+#: Training tokens of a stream, about.
+STREAM_TOKENS = 2_000_000
+#: One in so many training documents is counted and judges the rounds, but is not learned.
+JUDGES = 50
 _SLAB = 3_000_000
 #: The hash that stands for the end of a document.
 END = np.uint64(0x45)
@@ -140,48 +153,91 @@ def _held_out(doc_id: str):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0)) % 5 == 1
 
 
-def _train(table: Table, shape: gru.Shape, start: dict[str, np.ndarray]):
+def _encode(table: Table) -> Callable:
+    """Rows ``round, stream, key, text`` to ``round, stream, key, symbols``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in slices(batch.column(3)):
+                hashes, limits = tokens(data, offsets)
+                raw = symbols_of(table.find(hashes)).astype(np.int16).tobytes()
+                rows = pa.array([raw[2 * x : 2 * y] for x, y in zip(limits[:-1], limits[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), rows], names=["round", "stream", "key", "symbols"])
+
+    return run
+
+
+def _train(shape: gru.Shape, start: gru.State, rate: float) -> Callable:
+    """Rows ``stream, symbols``, all of a stream together, to the replica of each stream in chunks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = gru.Trainer(start, shape)
-        held: list[np.ndarray] = []
-        firsts: list[np.ndarray] = []
+        current, held, size = None, [], 0
+        trainer = gru.Trainer(start.params, shape, rate, start)
 
-        def flush() -> None:
+        def learn() -> None:
+            nonlocal size
             if held:
-                trainer.learn(np.concatenate(held), np.concatenate(firsts))
+                first = np.zeros(size, dtype=bool)
+                first[np.cumsum([0, *(len(x) for x in held[:-1])])] = True
+                trainer.learn(np.concatenate(held).astype(np.int32), first)
             held.clear()
-            firsts.clear()
+            size = 0
+
+        def replica() -> pa.RecordBatch:
+            flat = trainer.state().flat()
+            cuts = range(0, len(flat), _CHUNK)
+            return pa.RecordBatch.from_pydict({"chunk": pa.array([k // _CHUNK for k in cuts], pa.int32()), "stream": pa.array([current] * len(cuts), pa.int32()), "tokens": pa.array([trainer.tokens] * len(cuts), pa.int64()), "steps": pa.array([trainer.t] * len(cuts), pa.int64()), "values": pa.array([flat[k : k + _CHUNK] for k in cuts], pa.list_(pa.float32()))})
 
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0)):
-                hashes, limits = tokens(data, offsets)
-                held.append(symbols_of(table.find(hashes)))
-                first = np.zeros(len(hashes), dtype=bool)
-                first[limits[:-1]] = True
-                firsts.append(first)
-                if sum(map(len, held)) >= _SLAB:
-                    flush()
-        flush()
+            for stream, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if stream != current:
+                    learn()
+                    if trainer.tokens:
+                        yield replica()
+                    current, trainer = stream, gru.Trainer(start.params, shape, rate, start)
+                held.append(np.frombuffer(row.as_buffer(), dtype=np.int16))
+                size += len(held[-1])
+                if size >= _SLAB:
+                    learn()
+        learn()
         if trainer.tokens:
-            flat = gru.pack(trainer.p).astype(np.float64) * trainer.tokens
-            cuts = range(0, len(flat), _CHUNK)
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([k // _CHUNK for k in cuts], pa.int32()), "tokens": pa.array([trainer.tokens] * len(cuts), pa.int64()), "sums": pa.array([flat[k : k + _CHUNK] for k in cuts], pa.list_(pa.float64()))})
+            yield replica()
 
     return run
 
 
-def _add(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "tokens": [pdf["tokens"].sum()], "sums": [np.sum(np.stack(pdf["sums"].to_list()), axis=0)]})
+def _average(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Token-weighted sum of a chunk over streams, in their order."""
+    pdf = pdf.sort_values("stream")
+    weights = pdf["tokens"].to_numpy(dtype=float)
+    values = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["values"]])
+    return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "tokens": [int(weights.sum())], "steps": [int(pdf["steps"].max())], "values": [(weights[:, None] * values).sum(axis=0) / weights.sum()]})
+
+
+def _judge(shape: gru.Shape, params: dict[str, np.ndarray]) -> Callable:
+    """Rows ``key, symbols`` to the key and the log probability of each document."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.frombuffer(x.as_buffer(), dtype=np.int16) for x in batch.column(1)]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64)
+            found = gru.score_documents(params, shape, np.concatenate([*rows, np.zeros(0, dtype=np.int16)]).astype(np.int32), offsets)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["key", "score"])
 
-def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> Model:
+    return run
+
+
+def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, stream_tokens: int = STREAM_TOKENS, rate: float = RATE) -> Model:
     """Learn from the rows whose ``crc32(id as text) mod 5`` is not 1 (a null id counts as 0).
 
-    Without training rows the model knows no word and gives every token
-    probability 1, as the base score does.
+    Counts are over all of these.  Of the documents one in ``JUDGES``, by hash,
+    judges the rounds; each of the others is learned in exactly one round,
+    unless a round was undone and ended the training.  Repeated rows are
+    learned as often as they occur.  Without training rows the model knows no
+    word and gives every token probability 1, as the base score does.
     """
     spark = docs.sparkSession
-    train = docs.where(~_held_out(doc_id)).select(F.col(text).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(doc_id)), F.lit(rounds)).alias("round"))
+    train = docs.where(~_held_out(doc_id)).select(F.col(text).cast("string").alias("text"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text).cast("string")).alias("key"))
     counts = train.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "lm-counts")
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()[0]
@@ -192,19 +248,43 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rounds:
     n = int(total["n"] or 0)
     seen = np.bincount(symbols_of(np.arange(len(table.counts))), weights=table.counts, minlength=HEAD + shape.bins)
     seen[-1] = n - table.counts.sum() + 0.5 * (int(total["v"]) - len(table.counts) + 1)
-    params = gru.initial(shape, seen)
-    shared = spark.sparkContext.broadcast(table)
-    for k in range(rounds if n else 0):
-        begin = params
+    state = gru.State.begin(gru.initial(shape, seen))
+    if n and rounds:
+        state = _rounds(train, table, shape, state, rounds, max(1, -(-n // stream_tokens)), rate)
+    return Model(table, shape, state.params, n, int(total["v"]), counts)
 
-        def run(batches: Iterator[pa.RecordBatch], begin=begin) -> Iterator[pa.RecordBatch]:
-            return _train(shared.value, shape, begin)(batches)
 
-        replicas = train.where(F.col("round") == k).select("text").mapInArrow(run, "chunk int, tokens long, sums array<double>")
-        rows = replicas.groupBy("chunk").applyInPandas(_add, "chunk int, tokens long, sums array<double>").toPandas().sort_values("chunk")
-        if len(rows):
-            params = gru.unpack(np.concatenate([np.asarray(s) / n for s, n in zip(rows["sums"], rows["tokens"], strict=True)]), params)
-    return Model(table, shape, params, n, int(total["v"]), counts)
+def _rounds(train: DataFrame, table: Table, shape: gru.Shape, state: gru.State, rounds: int, streams: int, rate: float) -> gru.State:
+    spark = train.sparkSession
+    shared = spark.sparkContext.broadcast(table)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _encode(shared.value)(batches)
+
+    part = lambda name, k: F.pmod(F.xxhash64("key", F.lit(name)), F.lit(k)).cast("int")
+    dealt = train.select(F.when(part("judge", JUDGES) == 0, F.lit(-1)).otherwise(part("round", rounds)).alias("round"), part("stream", streams).alias("stream"), "key", "text")
+    dealt = materialize(dealt.mapInArrow(encode, "round int, stream int, key long, symbols binary"), "lm-symbols")
+    judges = dealt.where("round = -1").select("key", "symbols")
+
+    def judged(params: dict[str, np.ndarray]) -> float:
+        scored = judges.mapInArrow(_judge(shape, params), "key long, score double")
+        # Rounded to be the same in whatever order and company documents are scored.
+        return float(scored.agg(F.sum(F.round("score", 2).cast("decimal(28,2)")).alias("s")).collect()[0]["s"] or 0)
+
+    best = judged(state.params)
+    for k in range(rounds):
+        # All of a stream in one task, in the order of the hash: what a replica learns is the same wherever the rows came from.
+        rows = dealt.where(F.col("round") == k).repartition(streams, "stream").sortWithinPartitions("stream", "key").select("stream", "symbols")
+        replicas = rows.mapInArrow(_train(shape, state, rate), "chunk int, stream int, tokens long, steps long, values array<float>")
+        found = replicas.groupBy("chunk").applyInPandas(_average, "chunk int, tokens long, steps long, values array<double>").toPandas().sort_values("chunk")
+        if not len(found):
+            continue
+        after = gru.State.from_flat(np.concatenate(found["values"].to_list()), int(found["steps"].max()), state.params)
+        score = judged(after.params)
+        if score < best:
+            break
+        state, best = after, score
+    return state
 
 
 def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,7 +292,7 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
 
     ``base_score`` is the smoothed unigram score in log10; ``score`` the log10
     probability of the whole text under the model.  Null and empty texts have
-    one token, their end.  A null id is passed through (and is not held out);
+    one token, their end.  Texts of any length are read whole.  A null id is passed through (and is not held out);
     repeated rows score alike; an empty table gives an empty result.
     """
     shape, params = model.shape, model.params

@@ -125,3 +125,35 @@ def test_every_token_of_a_stream_is_learned(small):
     a.learn(symbols, firsts)
     b.learn(other, firsts)
     assert a.tokens == len(symbols) and any((a.p[k] != b.p[k]).any() for k in small)
+
+
+def test_state_is_packed_and_unpacked(small):
+    trainer = gru.Trainer(small, SHAPE)
+    trainer.learn(np.random.default_rng(3).integers(0, 15, 4000), np.arange(4000) % 40 == 0)
+    state = trainer.state()
+    again = gru.State.from_flat(state.flat(), state.steps, small)
+    assert again.steps == trainer.t > 0 and all((getattr(again, part)[k] == getattr(state, part)[k]).all() for part in ("params", "m", "v") for k in small)
+
+
+def test_the_model_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = []
+    for n in (1, 32, 128):
+        dealt = docs.repartition(n)
+        # Three streams, so that replicas are averaged.
+        held = L.score(dealt, L.fit(dealt, stream_tokens=120_000)).where("held_out")
+        r = held.agg({"score": "sum", "base_score": "sum", "n_tokens": "sum"}).collect()[0]
+        found.append((r["sum(score)"] / r["sum(n_tokens)"], r["sum(base_score)"] / r["sum(n_tokens)"]))
+    assert all(score == pytest.approx(found[0][0], abs=1e-6) and score > base + 0.15 for score, base in found)
+
+
+def test_a_round_that_worsens_is_undone(docs, prose):
+    table = docs([(k, prose(k, 60, 50), "s") for k in range(400)])
+    begin, learned, spoiled = L.fit(table, rounds=0), L.fit(table), L.fit(table, rate=50.0)
+    assert all((begin.params[k] == spoiled.params[k]).all() for k in begin.params) and any((begin.params[k] != learned.params[k]).any() for k in begin.params)
+
+
+def test_very_long_texts(docs):
+    table = docs([(1, "a b " * 500_000, "s"), (2, " " * 10_000_000, "s"), (3, "x" * 10_000_000, "s")])
+    got = {r.doc_id: r for r in L.score(table, L.fit(table)).collect()}
+    assert (got[1].n_tokens, got[2].n_tokens, got[3].n_tokens) == (1_000_001, 1, 2) and got[1].score > got[1].base_score
