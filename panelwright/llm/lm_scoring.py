@@ -47,6 +47,8 @@ _SLAB = 3_000_000
 #: The hash that stands for the end of a document.
 END = np.uint64(0x45)
 _CHUNK = 2048
+#: Stands for the log probability under parameters that are no numbers any more.
+_WORST = 1e18
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +224,7 @@ def _judge(shape: gru.Shape, params: dict[str, np.ndarray]) -> Callable:
             rows = [np.frombuffer(x.as_buffer(), dtype=np.int16) for x in batch.column(1)]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64)
             found = gru.score_documents(params, shape, np.concatenate([*rows, np.zeros(0, dtype=np.int16)]).astype(np.int32), offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["key", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.nan_to_num(found, nan=-_WORST, neginf=-_WORST))], names=["key", "score"])
 
     return run
 
