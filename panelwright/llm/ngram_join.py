@@ -22,6 +22,13 @@ Before whole sets are fetched, a pair must pass a bound on its sketches: bit k
 of a sketch is the parity of the shingles whose hash ends in k, so the bits in
 which two sketches differ are a lower bound of the shingles in which the sets
 do.  The bound never rejects a link.  Copies of one set are one node throughout.
+
+No list meets in one task.  Those of shingles counted often are dealt by set to
+parts; a long list that has to be scanned is cut into blocks by size and hash,
+and pairs of blocks of comparable size are compared, each pair in a task.
+
+Sets are told apart by 128 bits: should two share the 64 of their id, which the
+second half shows, all ids are drawn anew.  Shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -47,7 +54,11 @@ FREQUENT_MAX, FREQUENT_MIN = 200_000, 8
 _COUNT_SLAB = 4_000_000
 #: Members up to which lists are scanned together.
 SHORT = 48
+#: Postings of a frequent shingle that stay together, about, and members of a block of a list.
+LONG, BLOCK = 4096, 512
 _BROADCAST_IDS = 1_000_000
+#: Draws of set ids after which equal ids of different sets cannot be chance.
+_DRAWS = 4
 
 
 def required(n: np.ndarray | int) -> np.ndarray | int:
@@ -83,10 +94,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE_WOR
     return gram[keep], np.searchsorted(row[keep], np.arange(len(offsets)))
 
 
-def set_ids(grams: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """A 64-bit id of each set."""
+def set_ids(grams: np.ndarray, limits: np.ndarray, draw: int = 0) -> np.ndarray:
+    """A 64-bit id of each set; other draws give independent ids."""
     total = np.zeros(len(grams) + 1, dtype=np.uint64)
-    np.cumsum(mix(grams ^ np.uint64(0x5851F42D4C957F2D)), out=total[1:])
+    np.cumsum(mix(grams ^ mix(np.array([0x5851F42D4C957F2D + draw], dtype=np.uint64))), out=total[1:])
     return mix(total[limits[1:]] - total[limits[:-1]] + np.diff(limits).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
@@ -116,33 +127,39 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``kind 0``: id, set id, size, and for the first of a set its sketch.  Rows ``kind 1``: shingle, sets of this task that hold it, for shingles that several hold."""
-    seen: set[int] = set()
-    held: list[np.ndarray] = []
+def _describe(draw: int):
+    """Rows ``kind 0``: id, set id, size, a second id, and for the first of a set its sketch.  Rows ``kind 1``: shingle, sets of this task that hold it, for shingles that several hold."""
+    names = ["kind", "a", "b", "c", "other", "sketch"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
 
-    def frequent() -> pa.RecordBatch:
-        gram, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
-        gram, n = gram[n >= 4], n[n >= 4]
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), dtype=np.int8)), _long(gram), _long(n), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], names=["kind", "a", "b", "c", "sketch"])
+        def frequent() -> pa.RecordBatch:
+            gram, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+            gram, n = gram[n >= 4], n[n >= 4]
+            held.clear()
+            none = pa.nulls(len(n), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), dtype=np.int8)), _long(gram), _long(n), none, none, pa.nulls(len(n), pa.binary())], names=names)
 
-    for batch in batches:
-        for a, b, data, offsets in slices(batch.column(1)):
-            grams, limits = shingle_sets(data, offsets)
-            sizes = np.diff(limits)
-            ids = set_ids(grams, limits)
-            fresh = np.zeros(b - a, dtype=bool)
-            for k, x in enumerate(ids.tolist()):
-                if x not in seen:
-                    seen.add(x)
-                    fresh[k] = True
-            held.append(grams[np.repeat(fresh, sizes)])
-            drawn = [sketch(grams[limits[k] : limits[k + 1]]) if fresh[k] and sizes[k] else None for k in range(b - a)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, dtype=np.int8)), batch.column(0).slice(a, b - a), pa.array(ids, mask=sizes == 0), _long(sizes), pa.array(drawn, pa.binary())], names=["kind", "a", "b", "c", "sketch"])
-            if sum(map(len, held)) >= _COUNT_SLAB:
-                yield frequent()
-    yield frequent()
+        for batch in batches:
+            for a, b, data, offsets in slices(batch.column(1)):
+                grams, limits = shingle_sets(data, offsets)
+                sizes = np.diff(limits)
+                ids = set_ids(grams, limits, draw)
+                fresh = np.zeros(b - a, dtype=bool)
+                for k, x in enumerate(ids.tolist()):
+                    if x not in seen:
+                        seen.add(x)
+                        fresh[k] = True
+                held.append(grams[np.repeat(fresh, sizes)])
+                drawn = [sketch(grams[limits[k] : limits[k + 1]]) if fresh[k] and sizes[k] else None for k in range(b - a)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, dtype=np.int8)), batch.column(0).slice(a, b - a), pa.array(ids, mask=sizes == 0), _long(sizes), pa.array(set_ids(grams, limits, ~draw & 0xFFFF)), pa.array(drawn, pa.binary())], names=names)
+                if sum(map(len, held)) >= _COUNT_SLAB:
+                    yield frequent()
+        yield frequent()
+
+    return run
 
 
 def boundary(sizes: dict[int, int], scan: float) -> int:
@@ -163,16 +180,18 @@ def boundary(sizes: dict[int, int], scan: float) -> int:
     return min(range(1, LIGHT_MAX + 1), key=cost)
 
 
-def _postings(light: int, frequent: np.ndarray):
+def _postings(light: int, frequent: np.ndarray, times: np.ndarray, draw: int):
+    """``key, sid, n, place, part`` of every set; ``part`` is -1 but for keys that are counted more than ``LONG`` times.  ``times``: counts of the ``frequent`` shingles."""
     bits = np.zeros(1 << 22, dtype=bool)
     bits[(frequent & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
-    def is_frequent(gram: np.ndarray) -> np.ndarray:
-        out = bits[(gram & np.uint64((1 << 22) - 1)).astype(np.int64)]
-        at = np.flatnonzero(out)
+    def counted(gram: np.ndarray) -> np.ndarray:
+        """Counts of frequent shingles, 0 for others."""
+        out = np.zeros(len(gram), dtype=np.int64)
+        at = np.flatnonzero(bits[(gram & np.uint64((1 << 22) - 1)).astype(np.int64)])
         if len(at):
             place = np.minimum(np.searchsorted(frequent, gram[at]), len(frequent) - 1)
-            out[at] = frequent[place] == gram[at]
+            out[at] = np.where(frequent[place] == gram[at], times[place], 0)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,14 +199,15 @@ def _postings(light: int, frequent: np.ndarray):
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
                 grams, limits = shingle_sets(data, offsets)
-                sizes, ids = np.diff(limits), set_ids(grams, limits)
+                sizes, ids = np.diff(limits), set_ids(grams, limits, draw)
                 fresh = np.zeros(len(sizes), dtype=bool)
                 for k, x in enumerate(ids.tolist()):
                     if x not in seen:
                         seen.add(x)
                         fresh[k] = True
                 row = np.repeat(np.arange(len(sizes)), sizes)
-                late = is_frequent(grams)
+                often = counted(grams)
+                late = often > 0
                 before = np.concatenate([[0], np.cumsum(~late)])
                 early = before[limits[1:]] - before[limits[:-1]]
                 rank = before[:-1] - before[limits[:-1]][row]
@@ -195,17 +215,22 @@ def _postings(light: int, frequent: np.ndarray):
 
                 prefix = np.where(fresh & (sizes >= required(light + 1)) & (sizes > 1), sizes - required(sizes) + 1, 0)
                 take = rank < prefix[row]
-                keys, whose, place = [grams[take]], [row[take]], [rank[take]]
+                keys, whose, place, length = [grams[take]], [row[take]], [rank[take]], [often[take]]
                 for k in np.flatnonzero(fresh & (sizes > 1) & (sizes <= light)):
                     a, b = limits[k], limits[k + 1]
-                    first = grams[a:b][rank[a:b] < sizes[k] - required(int(sizes[k])) + 2]
+                    chosen = rank[a:b] < sizes[k] - required(int(sizes[k])) + 2
+                    first, known = grams[a:b][chosen], often[a:b][chosen]
                     i, j = np.triu_indices(len(first), 1)
                     # The lower hash first: the same pair gives the same key in every set.
                     keys.append(mix(np.minimum(first[i], first[j]) * np.uint64(0x9E3779B97F4A7C15) + np.maximum(first[i], first[j])))
                     whose.append(np.full(len(i), k))
                     place.append(np.zeros(len(i), dtype=np.int64))
+                    length.append(np.minimum(known[i], known[j]))
                 key, who, at = np.concatenate(keys), np.concatenate(whose), np.concatenate(place)
-                yield pa.RecordBatch.from_arrays([_long(key), pa.array(ids[who]), pa.array(sizes[who].astype(np.int32)), pa.array(at.astype(np.int32))], names=["key", "sid", "n", "place"])
+                parts = -(-np.concatenate(length) // LONG)
+                sid = ids[who]
+                part = np.where(parts > 1, (mix(sid.view(np.uint64)) % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64), -1)
+                yield pa.RecordBatch.from_arrays([_long(key), pa.array(sid), pa.array(sizes[who].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(part.astype(np.int32))], names=["key", "sid", "n", "place", "part"])
 
     return run
 
@@ -252,18 +277,16 @@ def partnered(key: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarra
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings sorted by key and set: each set once a key, and of those the ones that have a possible partner in their list."""
+    """From postings sorted by key and set: each set once a key, and of those the ones that have a possible partner in their list.  Of a list in parts all are kept."""
     names = ["key", "sid", "n", "place"]
     for whole in _whole_keys(batches):
-        x = {c: whole.column(k).to_numpy().astype(np.int64) for k, c in enumerate(names)}
+        x = {c: whole.column(k).to_numpy().astype(np.int64) for k, c in enumerate([*names, "part"])}
         keep = np.ones(len(x["key"]), dtype=bool)
         keep[1:] = (x["key"][1:] != x["key"][:-1]) | (x["sid"][1:] != x["sid"][:-1])
-        same = np.zeros(len(keep) + 1, dtype=bool)
-        same[1:-1] = x["key"][1:] == x["key"][:-1]
-        keep &= same[:-1] | same[1:]
         x = {c: v[keep] for c, v in x.items()}
-        good = partnered(x["key"], x["n"], x["place"])
-        yield pa.RecordBatch.from_arrays([pa.array(x[c][good]) for c in names], names=names)
+        cut = x["part"] >= 0
+        keep = cut | partnered(x["key"], x["n"], x["place"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[c][keep]) for c in names], names=names)
 
 
 def _open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,12 +302,15 @@ def _possible(n0: str, place0: str, n: str, place: str):
     return (F.lit(100) * F.least(n0, n) >= F.lit(PERCENT) * F.greatest(n0, n)) & (F.least(F.col(n0) - F.col(place0), F.col(n) - F.col(place)) >= need)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, _, data, offsets in slices(batch.column(0)):
-            grams, limits = shingle_sets(data, offsets)
-            raw = grams.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(set_ids(grams, limits)), pa.array([raw[8 * a : 8 * b] for a, b in zip(limits[:-1], limits[1:], strict=True)], pa.binary())], names=["sid", "grams"])
+def _sets(draw: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in slices(batch.column(0)):
+                grams, limits = shingle_sets(data, offsets)
+                raw = grams.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids(grams, limits, draw)), pa.array([raw[8 * a : 8 * b] for a, b in zip(limits[:-1], limits[1:], strict=True)], pa.binary())], names=["sid", "grams"])
+
+    return run
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,14 +341,15 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
-def scan_list(sid: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def scan_list(sid: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, side: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of members of one list that are in different components and pass the length, position and sketch bounds.
 
     Members are taken in order of size; each looks back only at those large
-    enough, whose sketches are compared in one go.
+    enough, whose sketches are compared in one go.  Of a pair of blocks, sides
+    1 and 2, only members of different sides are compared.
     """
     order = np.argsort(n, kind="stable")
-    sid, n, place, root = sid[order], n[order], place[order], root[order]
+    sid, n, place, root, side = sid[order], n[order], place[order], root[order], side[order]
     width = np.array([sketch_bits(int(x)) // 64 for x in n])
     by_width = {int(w): np.stack([np.frombuffer(sketches[order[k]], dtype=np.uint64) for k in np.flatnonzero(width == w)]) for w in np.unique(width)}
     first = {w: int(np.searchsorted(width, w)) for w in by_width}
@@ -337,7 +364,7 @@ def scan_list(sid: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarra
             while own.shape[1] > w:
                 own = fold(own)
             need = _need(n[a:b], n[k])
-            good = (root[a:b] != root[k]) & (np.minimum(n[a:b] - place[a:b], n[k] - place[k]) >= need)
+            good = (root[a:b] != root[k]) & ((side[a:b] != side[k]) | (side[k] == 0)) & (np.minimum(n[a:b] - place[a:b], n[k] - place[k]) >= need)
             good[good] = np.bitwise_count(words[a - first[w] : b - first[w]][good] ^ own).sum(axis=1) <= allowed(n[a:b], n[k])[good]
             hit = np.flatnonzero(good) + a
             left.append(sid[hit])
@@ -382,26 +409,45 @@ def scan_short(key: np.ndarray, sid: np.ndarray, n: np.ndarray, place: np.ndarra
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``key, sid, n, place, root, sketch`` sorted by key to candidate pairs, each at most once a batch of lists."""
+    """Rows ``key, sid, n, place, root, side, sketch`` sorted by key to candidate pairs, each at most once a batch of lists."""
     for whole in _whole_keys(batches):
         key = whole.column(0).to_numpy()
         cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        cols = [whole.column(k).to_numpy() for k in range(1, 5)]
-        raw = whole.column(5).to_pylist()
-        long = np.flatnonzero(np.diff(cuts) > SHORT)
+        cols = [whole.column(k).to_numpy() for k in range(1, 6)]
+        raw = whole.column(6).to_pylist()
+        # Blocks are scanned by themselves, whatever is left of them.
+        long = np.flatnonzero((np.diff(cuts) > SHORT) | (cols[4][cuts[:-1]] > 0))
         found = [scan_list(*(c[cuts[k] : cuts[k + 1]] for c in cols), raw[cuts[k] : cuts[k + 1]]) for k in long]
         short = np.flatnonzero(~np.repeat(np.isin(np.arange(len(cuts) - 1), long), np.diff(cuts)))
-        found.append(scan_short(key[short], *(c[short] for c in cols), [raw[k] for k in short]))
+        found.append(scan_short(key[short], *(c[short] for c in cols[:4]), [raw[k] for k in short]))
         pairs = np.unique(np.stack([np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])], axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
 
 
-def _verify(docs: DataFrame, by_set: DataFrame, pairs: DataFrame) -> DataFrame:
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members of long lists (``key, k, sid, n, place, root``) to the pairs of blocks that may hold links: the pair as ``key``, and the ``side`` of the member.
+
+    A block holds members of one size class of a list, dealt by hash so that it
+    has about ``BLOCK`` of them at most.  Sizes of linked sets differ by less
+    than a class, so a block meets those of its own class and of the next.
+    """
+    blocks = F.ceil(F.col("k") / F.lit(BLOCK))
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)) + F.lit(1e-9))
+    own = F.pmod(F.xxhash64("sid", F.lit("block")), blocks)
+    every = F.sequence(F.lit(0).cast("long"), blocks - 1)
+    same = F.transform(every, lambda h: F.struct(F.col("__c").alias("c1"), F.least(F.col("__h"), h).alias("h1"), F.col("__c").alias("c2"), F.greatest(F.col("__h"), h).alias("h2"), F.when(F.col("__h") == h, 0).when(F.col("__h") < h, 1).otherwise(2).alias("side")))
+    up = F.transform(every, lambda h: F.struct(F.col("__c").alias("c1"), F.col("__h").alias("h1"), (F.col("__c") + 1).alias("c2"), h.alias("h2"), F.lit(1).alias("side")))
+    down = F.transform(every, lambda h: F.struct((F.col("__c") - 1).alias("c1"), h.alias("h1"), F.col("__c").alias("c2"), F.col("__h").alias("h2"), F.lit(2).alias("side")))
+    dealt = members.withColumns({"__c": size.cast("long"), "__h": own}).withColumn("u", F.explode(F.concat(same, up, down)))
+    return dealt.select(F.xxhash64("key", "u.c1", "u.h1", "u.c2", "u.h2").alias("key"), "sid", "n", "place", "root", F.col("u.side").cast("long").alias("side"))
+
+
+def _verify(docs: DataFrame, by_set: DataFrame, pairs: DataFrame, draw: int) -> DataFrame:
     """The pairs ``a, b`` of set ids whose sets reach the threshold.  Sets are built anew from the text of one document each."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     wanted = materialize(nodes.join(by_set.select("sid", "doc"), "sid").select(F.col("doc").alias("__doc")).distinct(), "join-wanted")
     text = docs.join(broadcast_if_small(wanted, _BROADCAST_IDS), F.col("doc_id") == F.col("__doc"), "left_semi").select("text")
-    sets = text.mapInArrow(_sets, "sid long, grams binary").groupBy("sid").agg(F.first("grams").alias("grams"))
+    sets = text.mapInArrow(_sets(draw), "sid long, grams binary").groupBy("sid").agg(F.first("grams").alias("grams"))
     left = pairs.join(sets.select(F.col("sid").alias("a"), F.col("grams").alias("x")), "a")
     both = left.join(sets.select(F.col("sid").alias("b"), F.col("grams").alias("y")), "b")
     return materialize(both.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), "join-links")
@@ -416,25 +462,34 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     wordless texts have no shingles, link with nothing and are their own
     component.  Copies and repeated rows share a component.  A row whose id is
     null is not linked and has a null component.  Ids are whole numbers; other
-    columns are ignored.  An empty table gives an empty result.
+    columns are ignored.  Texts of any length are read whole.  An empty table
+    gives an empty result.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    described = materialize(docs.mapInArrow(_describe, "kind byte, a long, b long, c long, sketch binary"), "join-sets")
-    rows = described.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sid"), F.col("c").alias("n_shingles"), "sketch")
-    known = rows.where("doc_id is not null and n_shingles > 0")
-    by_set = materialize(known.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")), "join-distinct")
+    for draw in range(_DRAWS):
+        described = materialize(docs.mapInArrow(_describe(draw), "kind byte, a long, b long, c long, other long, sketch binary"), "join-sets")
+        rows = described.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sid"), F.col("c").alias("n_shingles"), "other", "sketch")
+        known = rows.where("doc_id is not null and n_shingles > 0")
+        by_set = materialize(known.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"), (F.min("other") != F.max("other")).alias("mixed")), "join-distinct")
+        if by_set.where("mixed").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"different sets share an id in each of {_DRAWS} draws")
+    by_set = by_set.drop("mixed")
 
     counted = described.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= FREQUENT_MIN)
     counted = largest(materialize(counted, "join-frequent"), "n", FREQUENT_MAX).toPandas()
-    frequent = np.sort(counted["a"].to_numpy(dtype=np.int64).view(np.uint64))
+    frequent = counted["a"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(frequent)
+    frequent, times = frequent[order], counted["n"].to_numpy(dtype=np.int64)[order]
     few = by_set.groupBy(F.least("n", F.lit(LIGHT_MAX + 1)).alias("size")).agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total")).collect()
     total = sum(r["total"] for r in few)
     scan = 1.0 + 8.0 * float(counted["n"].sum()) / max(1, total)
     light = boundary({r["size"]: r["sets"] for r in few if r["size"] <= LIGHT_MAX}, scan)
 
-    post = _postings(light, frequent)
-    postings = docs.where("doc_id is not null").select("text").mapInArrow(post, "key long, sid long, n int, place int")
-    listed = postings.repartition("key").sortWithinPartitions("key", "sid")
+    post = _postings(light, frequent, times, draw)
+    postings = docs.where("doc_id is not null").select("text").mapInArrow(post, "key long, sid long, n int, place int, part int")
+    listed = postings.repartition("key", "part").sortWithinPartitions("key", "part", "sid")
     lists = materialize(listed.mapInArrow(_lists, "key long, sid long, n long, place long"), "join-lists")
 
     shared = lists.groupBy("sid").agg(F.count(F.lit(1)).alias("lists"))
@@ -445,20 +500,23 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     side = lambda c: by_set.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     drawn = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
     pairs = materialize(drawn.mapInArrow(_near, "a long, b long"), "join-near")
-    links = _verify(docs, by_set, pairs)
+    links = _verify(docs, by_set, pairs, draw)
     roots = components(links)
 
     hung = lists.join(broadcast_if_small(roots, _BROADCAST_IDS), F.col("sid") == F.col("node"), "left").select("key", "sid", "n", "place", F.coalesce("root", "sid").alias("root"))
-    mixed = hung.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("sid", "place")).alias("x")).where("lo <> hi")
-    # Lists with the same members at the same places say the same; one of them is enough.
-    open_lists = mixed.groupBy("k", "x", "lo", "hi").agg(F.min("key").alias("key")).select("key")
-    members = hung.join(open_lists, "key").select("key", "sid", "n", "place", "root").repartition("key").sortWithinPartitions("key")
-    members = members.mapInArrow(_open_members, "key long, sid long, n long, place long, root long")
-    members = members.join(by_set.select("sid", "sketch"), "sid").select("key", "sid", "n", "place", "root", "sketch")
+    digests = [F.bit_xor(F.xxhash64(F.lit(name), "sid", "place")).alias(name) for name in ("x", "y")]
+    mixed = hung.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k"), *digests).where("lo <> hi")
+    # Lists with the same members at the same places (by 128 bits) say the same; one of them is enough.
+    open_lists = materialize(mixed.groupBy("k", "x", "y", "lo", "hi").agg(F.min("key").alias("key")).select("key", "k"), "join-open")
+    fields = "key long, sid long, n long, place long, root long"
+    short = hung.join(open_lists.where(F.col("k") <= BLOCK), "key").select("key", "sid", "n", "place", "root").repartition("key").sortWithinPartitions("key")
+    members = short.mapInArrow(_open_members, fields).withColumn("side", F.lit(0).cast("long"))
+    members = members.unionByName(_blocks(hung.join(open_lists.where(F.col("k") > BLOCK), "key").select("key", "k", "sid", "n", "place", "root")))
+    members = members.join(by_set.select("sid", "sketch"), "sid").select("key", "sid", "n", "place", "root", "side", "sketch")
     rest = members.repartition("key").sortWithinPartitions("key").mapInArrow(_scan, "a long, b long").distinct()
     rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "join-rest")
     if not rest.isEmpty():
-        more = _verify(docs, by_set, rest)
+        more = _verify(docs, by_set, rest, draw)
         if not more.isEmpty():
             roots = components(links.unionByName(more))
 

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from panelwright.llm import ngram_join as J
@@ -84,6 +85,65 @@ def test_frequent_shingles_only_change_the_order(docs, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows)
 
 
+def lists_of_many(seed, members=130):
+    """Texts that share a long passage but link in several groups of like sizes only, so that lists above ``SHORT`` stay open."""
+    r = random.Random(seed)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for k in range(members):
+        own = [f"g{k % 23}w{i}" for i in range(r.choice([40, 44, 70]))]
+        rows.append((k * 31 % 1009, " ".join(passage + edited(r, own, r.choice([0, 0.02, 0.3])))))
+    return rows
+
+
+@pytest.mark.parametrize("seed, block, long", [(1, 512, 4096), (2, 40, 30), (3, 16, 7)])
+def test_long_lists_match_brute_force(docs, monkeypatch, seed, block, long):
+    scanned = []
+    monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "LONG", long)
+    monkeypatch.setattr(J, "SHORT", 8)
+    monkeypatch.setattr(J, "FREQUENT_MIN", 10**9)
+    blocks = J._blocks
+    monkeypatch.setattr(J, "_blocks", lambda m: (scanned.append(m.count()), blocks(m))[1])
+    rows = lists_of_many(seed)
+    got = J.near_duplicates(docs([(i, t, "s") for i, t in rows]))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows)
+    assert (scanned[0] > 0) == (block < 100)
+
+
+def test_frequent_lists_in_parts_match_brute_force(docs, monkeypatch):
+    monkeypatch.setattr(J, "LONG", 9)
+    rows = lists_of_many(4)
+    got = J.near_duplicates(docs([(i, t, "s") for i, t in rows]))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows)
+
+
+def test_blocks_meet_every_comparable_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 10)
+    r = random.Random(6)
+    n = {sid: r.choice([4, 9, 10, 12, 13, 100, 130]) for sid in range(60)}
+    members = spark.createDataFrame([(7, 60, s, k, 0, s) for s, k in n.items()], "key long, k long, sid long, n long, place long, root long")
+    units = {}
+    for x in J._blocks(members).collect():
+        units.setdefault(x.key, []).append(x)
+    met = Counter(frozenset((x.sid, y.sid)) for u in units.values() for i, x in enumerate(u) for y in u[:i] if x.side != y.side or x.side == 0)
+    assert max(met.values()) == 1
+    assert all(met[frozenset((a, b))] == 1 for a in n for b in range(a) if 100 * min(n[a], n[b]) >= 75 * max(n[a], n[b]))
+
+
+def test_ids_are_drawn_anew_when_two_sets_share_one(docs):
+    grams, limits = np.array([1, 2, 3], dtype=np.uint64), np.array([0, 1, 3])
+    assert len({tuple(J.set_ids(grams, limits, d)) for d in range(4)} | {tuple(J.set_ids(grams, limits, ~d & 0xFFFF)) for d in range(4)}) == 8
+    assert (J.set_ids(grams, limits, 2) == J.set_ids(grams, limits, 2)).all()
+
+
+def test_very_long_texts(docs):
+    text = " ".join(f"w{k}" for k in range(300_000))
+    rows = [(1, text, "s"), (2, "x " + text, "s"), (3, " " * 10_000_000, "s"), (4, "y" * 10_000_000, "s"), (5, "z " * 2_000_000, "s")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.near_duplicates(docs(rows)).collect()}
+    assert got == {1: (299_996, 1), 2: (299_997, 1), 3: (0, 3), 4: (1, 4), 5: (1, 5)}
+
+
 def test_boundary_follows_cost():
     assert J.boundary({n: 10 for n in range(1, 65)}, 1.0) < J.boundary({n: 10 for n in range(1, 65)}, 50.0)
 
