@@ -3,18 +3,21 @@
 Categories are predicted in order.  The model of a category is linear in the
 presence of word and word-beginning features and in the log odds that the
 earlier categories were given; for training, those come from models that did
-not see the row (out of fold).
+not see the row (out of fold): neither it nor a copy of it served to choose
+their features or to fit them.  The models of a category are fitted side by
+side on the executors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import pickle
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm._storage import bounded_sample, broadcast_if_small, materialize
@@ -125,68 +128,125 @@ class Chain:
         return 1 / (1 + np.exp(-odds))
 
 
-def fit_chain(row: np.ndarray, feature: np.ndarray, y: np.ndarray, names: Sequence[str], size: int, *, folds: int = FOLDS) -> tuple[Chain, np.ndarray]:
-    """A chain from (row, feature) pairs and a 0/1 matrix ``y``; also the out-of-fold log odds of every category."""
+def fit_chain(row: np.ndarray, feature: np.ndarray, y: np.ndarray, names: Sequence[str], size: int, *, fold: np.ndarray | None = None, folds: int = FOLDS, allowed: np.ndarray | None = None, run: Callable = lambda f, items: [f(x) for x in items]) -> tuple[Chain, np.ndarray]:
+    """A chain from (row, feature) pairs and a 0/1 matrix ``y``; also the out-of-fold log odds of every category.
+
+    ``fold``: that of each row; ``allowed``: for each category, fold and feature
+    whether the model that leaves out the fold may use it (the last place is the
+    model of all rows).  ``run`` maps the fits of a category.
+    """
     n = len(y)
-    fold = np.arange(n) % folds
+    fold = np.arange(n) % folds if fold is None else fold
+    allowed = np.ones((len(names), folds + 1, size), dtype=bool) if allowed is None else allowed
     odds = np.zeros((n, 0))
     models = []
     for k in range(len(names)):
+
+        def one(f: int, k: int = k, odds: np.ndarray = odds) -> tuple[Linear, np.ndarray]:
+            usable = allowed[k, f][feature]
+            if f == folds:
+                return fit_linear(row[usable], feature[usable], odds, y[:, k], size), np.zeros(0)
+            place = np.where(fold != f, np.cumsum(fold != f) - 1, -1)
+            inside = usable & (place[row] >= 0)
+            model = fit_linear(place[row[inside]], feature[inside], odds[fold != f], y[fold != f, k], size)
+            place = np.where(fold == f, np.cumsum(fold == f) - 1, -1)
+            inside = usable & (place[row] >= 0)
+            return model, np.clip(model.log_odds(place[row[inside]], feature[inside], odds[fold == f], int((fold == f).sum())), -8, 8)
+
+        found = run(one, range(folds + 1))
         held = np.zeros(n)
         for f in range(folds):
-            train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            place = np.full(n, -1)
-            place[train] = np.arange(len(train))
-            inside = place[row] >= 0
-            model = fit_linear(place[row[inside]], feature[inside], odds[train], y[train, k], size)
-            place = np.full(n, -1)
-            place[test] = np.arange(len(test))
-            inside = place[row] >= 0
-            held[test] = np.clip(model.log_odds(place[row[inside]], feature[inside], odds[test], len(test)), -8, 8)
-        models.append(fit_linear(row, feature, odds, y[:, k], size))
+            held[fold == f] = found[f][1]
+        models.append(found[folds][0])
         odds = np.column_stack([odds, held])
     return Chain(tuple(names), models), odds
 
 
+def on_executors(spark: SparkSession) -> Callable:
+    """A map over small numbers, one task each."""
+
+    def run(f: Callable, items: Sequence[int]) -> list:
+        def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                yield pd.DataFrame({"id": part["id"], "found": [pickle.dumps(f(int(i))) for i in part["id"]]})
+
+        rows = spark.range(0, len(items), 1, len(items)).mapInPandas(each, "id long, found binary").collect()
+        return [pickle.loads(bytes(r["found"])) for r in sorted(rows, key=lambda r: r["id"])]
+
+    return run
+
+
 def _feature_counts(names: Sequence[str]):
+    """Rows ``text, fold, y0, y1, ...`` to features with their fold, rows and positive rows of each category."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels = np.column_stack([batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(len(names))])
+            fold, *labels = (batch.column(1 + k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(1 + len(names)))
             for a, b, data, offsets in slices(batch.column(0)):
                 hashes, rows = _distinct(*features(data, offsets))
-                order = np.argsort(hashes, kind="stable")
-                hashes, rows = hashes[order], rows[order]
-                first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, dtype=np.int64)
-                cols = [pa.array(hashes[first].view(np.int64)), pa.array(np.diff(np.append(first, len(hashes))))]
-                for k in range(len(names)):
-                    cols.append(pa.array(np.add.reduceat(labels[a:b][rows, k], first).astype(np.int64) if len(first) else np.zeros(0, dtype=np.int64)))
-                yield pa.RecordBatch.from_arrays(cols, names=["feature", "n", *(f"y{k}" for k in range(len(names)))])
+                of = fold[a:b][rows]
+                order = np.lexsort((of, hashes))
+                hashes, rows, of = hashes[order], rows[order], of[order]
+                first = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])])) if len(hashes) else np.zeros(0, dtype=np.int64)
+                cols = [pa.array(hashes[first].view(np.int64)), pa.array(of[first]), pa.array(np.diff(np.append(first, len(hashes))))]
+                for y in labels:
+                    cols.append(pa.array(np.add.reduceat(y[a:b][rows], first) if len(first) else np.zeros(0, dtype=np.int64)))
+                yield pa.RecordBatch.from_arrays(cols, names=["feature", "fold", "n", *(f"y{k}" for k in range(len(names)))])
 
     return run
 
 
+def chi_square(n: Column, y: Column, rows: float, positive: float) -> Column:
+    """Of a feature on ``n`` of ``rows`` rows, ``y`` of the ``positive`` ones among them."""
+    p = min(max(positive / rows if rows else 0.0, 1e-6), 1 - 1e-6)
+    gap = y - n * F.lit(p)
+    return F.try_divide(gap * gap, n * F.lit(p * (1 - p)) * (F.lit(1.0) - n / F.lit(float(rows + 1))))
+
+
+def select_features(rows: DataFrame, names: Sequence[str], folds: int = FOLDS) -> DataFrame:
+    """``feature, k, f``: the features that the model of category ``k`` without fold ``f`` may use (``f = folds``: the model of all rows), by the counts of the rows that it is fitted on.
+
+    ``rows``: ``text, fold, __y0, ...``.  At most ``FEATURES_PER_CATEGORY`` each.
+    """
+    labels = [f"__y{k}" for k in range(len(names))]
+    counts = rows.select("text", "fold", *labels).mapInArrow(_feature_counts(names), "feature long, fold long, n long, " + ", ".join(f"y{k} long" for k in range(len(names))))
+    every = ["n", *(f"y{k}" for k in range(len(names)))]
+    sums = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}_{f}") for f in range(folds) for c in every]
+    counts = counts.groupBy("feature").agg(*[F.sum(c).alias(c) for c in every], *sums).where(F.col("n") >= MIN_DOCS)
+    sizes = {r["fold"]: r for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"y{k}") for k, c in enumerate(labels)]).collect()}
+    total = {c: sum(r[c] for r in sizes.values()) for c in every}
+    scores = []
+    for k in range(len(names)):
+        for f in range(folds + 1):
+            less = lambda c, f=f: F.col(c) - F.col(f"{c}_{f}") if f < folds else F.col(c)
+            out = lambda c, f=f: total[c] - (sizes[f][c] if f in sizes else 0)
+            score = F.when(less("n") >= MIN_DOCS, chi_square(less("n"), less(f"y{k}"), out("n"), out(f"y{k}")))
+            scores.append(F.struct(F.lit(k).alias("k"), F.lit(f).alias("f"), score.alias("score")))
+    found = counts.select("feature", F.explode(F.array(*scores)).alias("s")).select("feature", "s.*").where(F.col("score") >= MIN_CHI_SQUARE)
+    best = Window.partitionBy("k", "f").orderBy(F.desc("score"), "feature")
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= FEATURES_PER_CATEGORY).select("feature", "k", "f")
+
+
 def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Column]], *, doc_id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED) -> tuple[Chain, Vocabulary]:
-    """Fit on at most ``max_labelled`` labelled rows of ``docs``.
+    """Fit on at most ``max_labelled`` labelled documents, chosen by a hash of the id.
 
     ``categories``: name and condition on ``labels``, in chain order; labels for
-    which a condition is null are ignored.  Without usable labels every
-    probability is one half.
+    which a condition is null are ignored.  An id that repeats is one document,
+    with the text that comes first.  Copies of a text share a fold.  Without
+    usable labels every probability is one half.
     """
-    names = [name for name, _ in categories]
-    given = labels.select(F.col(doc_id).alias("__id"), *[c.cast("int").alias(f"__y{k}") for k, (_, c) in enumerate(categories)]).dropna().dropDuplicates(["__id"])
+    spark, names = docs.sparkSession, [name for name, _ in categories]
+    own = [f"__y{k}" for k in range(len(names))]
+    given = labels.select(F.col(doc_id).alias("__id"), *[c.cast("int").alias(y) for y, (_, c) in zip(own, categories, strict=True)]).dropna().groupBy("__id").agg(F.max(F.struct(*own)).alias("y")).select("__id", "y.*")
     chosen = materialize(bounded_sample(given, "__id", max_labelled), "chain-labels")
-    rows = docs.join(broadcast_if_small(chosen), F.col(doc_id) == F.col("__id")).select(F.col(text).cast("string").alias("text"), *[f"__y{k}" for k in range(len(names))], F.col("__id").cast("string").alias("id"))
-    counts = rows.select("text", *[f"__y{k}" for k in range(len(names))]).mapInArrow(_feature_counts(names), "feature long, n long, " + ", ".join(f"y{k} long" for k in range(len(names))))
-    counts = materialize(counts.groupBy("feature").agg(F.sum("n").alias("n"), *[F.sum(f"y{k}").alias(f"y{k}") for k in range(len(names))]).where(F.col("n") >= MIN_DOCS), "chain-features")
-    n = max(1, chosen.count())
-    prior = chosen.agg(*[F.avg(f"__y{k}") for k in range(len(names))]).collect()[0]
-    picked = []
-    for k in range(len(names)):
-        p = min(max(prior[k] or 0.0, 1e-6), 1 - 1e-6)
-        gap = F.col(f"y{k}") - F.col("n") * F.lit(p)
-        score = gap * gap / (F.col("n") * F.lit(p * (1 - p)) * (F.lit(1.0) - F.col("n") / F.lit(float(n + 1))))
-        picked.append(counts.where(score >= MIN_CHI_SQUARE).orderBy(score.desc(), "feature").limit(FEATURES_PER_CATEGORY).select("feature").toPandas()["feature"].to_numpy(dtype=np.int64))
-    vocabulary = Vocabulary(np.unique(np.concatenate(picked).view(np.uint64)))
+    rows = docs.join(broadcast_if_small(chosen), F.col(doc_id) == F.col("__id")).select("__id", *own, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = rows.groupBy("__id", *own).agg(F.min("text").alias("text")).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
+    rows = materialize(rows, "chain-rows")
+    picked = select_features(rows, names).toPandas()
+    vocabulary = Vocabulary(np.unique(picked["feature"].to_numpy(dtype=np.int64).view(np.uint64)))
+    size = len(vocabulary.hashes)
+    allowed = np.zeros((len(names), FOLDS + 1, size), dtype=bool)
+    allowed[picked["k"].to_numpy(dtype=np.int64), picked["f"].to_numpy(dtype=np.int64), np.searchsorted(vocabulary.hashes, picked["feature"].to_numpy(dtype=np.int64).view(np.uint64))] = True
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,23 +256,22 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Colu
                 lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(feature.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(1, batch.num_columns)), lists], names=[*batch.schema.names[1:], "f"])
 
-    schema = ", ".join(f"__y{k} int" for k in range(len(names))) + ", id string, f array<int>"
-    x: pd.DataFrame = rows.mapInArrow(encode, schema).toPandas().sort_values("id", kind="stable", ignore_index=True)
-    y = x[[f"__y{k}" for k in range(len(names))]].to_numpy(dtype=float)
-    lists = [np.asarray(f, dtype=np.int64) for f in x["f"]]
-    row = np.repeat(np.arange(len(x)), [len(f) for f in lists]) if lists else np.zeros(0, dtype=np.int64)
-    feature = np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64)
+    schema = "id string, fold int, " + ", ".join(f"{y} int" for y in own) + ", f array<int>"
+    x: pd.DataFrame = rows.select("text", F.col("__id").cast("string").alias("id"), "fold", *own).mapInArrow(encode, schema).toPandas().sort_values("id", kind="stable", ignore_index=True)
     if not len(x):
-        return Chain(tuple(names), [Linear(np.zeros(len(vocabulary.hashes)), np.zeros(k), 0.0) for k in range(len(names))]), vocabulary
-    return fit_chain(row, feature, y, names, len(vocabulary.hashes))[0], vocabulary
+        return Chain(tuple(names), [Linear(np.zeros(size), np.zeros(k), 0.0) for k in range(len(names))]), vocabulary
+    y = x[own].to_numpy(dtype=float)
+    lists = [np.asarray(f, dtype=np.int64) for f in x["f"]]
+    row, feature = np.repeat(np.arange(len(x)), [len(f) for f in lists]), np.concatenate(lists)
+    return fit_chain(row, feature, y, names, size, fold=x["fold"].to_numpy(dtype=np.int64), allowed=allowed, run=on_executors(spark))[0], vocabulary
 
 
 def score(docs: DataFrame, chain: Chain, vocabulary: Vocabulary, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id`` and ``p_<category>`` for every row, from its whole text.
 
     Null and empty texts have no features and get the models' bias; repeated
-    rows score alike; a null id is passed through; an empty table gives an
-    empty result.
+    rows score alike; a null id is passed through; texts of any length are read
+    whole; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
