@@ -1,7 +1,8 @@
 """Temporal cross-validation as a long table ``(fold, row_id, role)``.
 
-Fold bounds come from the distinct times, which are few; the rows themselves
-are assigned by expressions and stay distributed.
+Bounds of walk-forward folds come from the distinct times.  Purged folds are
+decided in Spark for each distinct (time, label interval); only the number of
+times reaches the driver.  Rows stay distributed.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from itertools import combinations
 from math import comb
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelwright import contracts as C
 from panelwright.errors import DataContractError, MethodContractError
+from panelwright.operators.pit import asof_frame
 from panelwright.result import Evidence, Metadata
 
 ROLES = ("train", "test", "purged", "embargoed")
@@ -74,13 +75,14 @@ def add_span(t: date, span: tuple[int, str], sign: int = 1) -> date:
     return t.replace(year=year, month=month, day=min(t.day, last))
 
 
-def _roles(evidence_name: str, data: DataFrame, folds: DataFrame, time: str, n_folds: int, metrics: dict, tables: dict) -> SplitResult:
-    grid = data.sparkSession.createDataFrame([(k, r) for k in range(n_folds) for r in ROLES], "fold int, role string")
-    summary = folds.groupBy("fold", "role").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count(F.lit(1)).alias("n"))
-    table = grid.join(summary, ["fold", "role"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    counted = {r["role"]: r["n"] for r in folds.groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}
-    metrics = {"n_folds": n_folds, "purged_observations": counted.get("purged", 0), "embargoed_observations": counted.get("embargoed", 0)} | metrics
-    return SplitResult(folds.select("fold", "row_id", "role"), Evidence(Metadata(evidence_name), metrics, (), {"folds": table.orderBy("fold", "role")} | tables), n_folds)
+def _roles(name: str, rows: DataFrame, counts: DataFrame, n_folds: int, metrics: dict, tables: dict) -> SplitResult:
+    """``rows``: fold, row_id, t, role; ``counts``: fold, role, start, end, n."""
+    grid = counts.sparkSession.createDataFrame([(k, r) for k in range(n_folds) for r in ROLES], "fold int, role string")
+    counted = {(r["fold"], r["role"]): r["n"] for r in counts.collect()}
+    table = grid.join(counts, ["fold", "role"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    total = lambda role: sum(n for (_, r), n in counted.items() if r == role)
+    metrics = {"n_folds": n_folds, "purged_observations": total("purged"), "embargoed_observations": total("embargoed")} | metrics
+    return SplitResult(rows.select("fold", "row_id", "role"), Evidence(Metadata(name), metrics, (), {"folds": table.orderBy("fold", "role")} | tables), n_folds)
 
 
 @dataclass(frozen=True)
@@ -134,69 +136,76 @@ class WalkForward:
             role = F.when((t >= lit(a)) & (t < lit(b)), "train").when(test, "test")
             pieces.append(F.struct(F.lit(k).alias("fold"), role.alias("role")))
         rows = data.select("row_id", t.alias("t"), F.explode(F.array(*pieces)).alias("p")).select("row_id", "t", "p.fold", "p.role").where("role is not null")
-        return _roles("cv.walk_forward", data, rows, time, len(bounds), {}, {})
+        counts = rows.groupBy("fold", "role").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count(F.lit(1)).alias("n"))
+        return _roles("cv.walk_forward", rows, counts, len(bounds), {}, {})
 
 
-def groups_of(times: Sequence[Any], n: int) -> list[list[Any]]:
-    """Consecutive groups; the first ``len % n`` have one time more."""
-    if not 2 <= n <= len(times):
+def islands(intervals: DataFrame, by: str, start: str = "s", end: str = "e") -> DataFrame:
+    """Merged half-open intervals ``by, a, b``; touching ones merge, which changes no overlap with a third.
+
+    Intervals are first reduced to the latest end of each start, so the sweep
+    passes over distinct starts.
+    """
+    latest = intervals.groupBy(by, start).agg(F.max(end).alias("b"))
+    w = Window.partitionBy(by).orderBy(start)
+    reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begun = latest.withColumn("new", (reach.isNull() | (F.col(start) > reach)).cast("long"))
+    numbered = begun.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(by, "island").agg(F.min(start).alias("a"), F.max("b").alias("b")).drop("island")
+
+
+def _sizes(n: int, groups: int) -> list[tuple[int, int]]:
+    """First and last index of consecutive groups of ``n`` times; the first ``n % groups`` have one more."""
+    if not 2 <= groups <= n:
         raise MethodContractError("the number of groups must lie between 2 and the number of times")
-    size, extra = divmod(len(times), n)
-    out, at = [], 0
-    for k in range(n):
-        end = at + size + (k < extra)
-        out.append(list(times[at:end]))
-        at = end
-    return out
-
-
-def islands(intervals: Sequence[tuple[Any, Any]]) -> list[tuple[Any, Any]]:
-    """Merged half-open intervals; touching ones merge, which changes no overlap with a third."""
-    out: list[list[Any]] = []
-    for a, b in sorted(intervals):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [tuple(x) for x in out]
-
-
-def _purged(data: DataFrame, time: str, label_start: str, label_end: str, folds: list[list[list[Any]]], times: list[Any], embargo: int) -> DataFrame:
-    """Roles of every row in every fold, a fold being a list of test groups.
-
-    The label intervals of a test group are merged by distinct test time (one
-    small aggregate), so purging is a test against a few islands.
+    size, extra = divmod(n, groups)
+    firsts = [k * size + min(k, extra) for k in range(groups + 1)]
+    return [(a, b - 1) for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
+
+
+@dataclass(frozen=True)
+class _Purged:
+    rows: DataFrame
+    counts: DataFrame
+    groups: list[dict]
+
+
+def _purged(data: DataFrame, time: str, label_start: str, label_end: str, groups: int, folds: list[tuple[int, ...]], embargo: int) -> _Purged:
+    """Roles of every row in every fold, a fold being a set of test groups of consecutive times.
+
+    Everything is decided once for each distinct (time, label interval): the
+    place of its time, and which groups' merged label intervals it overlaps.
+    The rows meet those roles in one join.  Intervals stay in Spark: the last
+    island that begins before an interval ends is found by an as-of sweep over
+    distinct intervals, and it overlaps if it ends after the interval begins.
     """
-    ranges = {r["t"]: [(x["a"], x["b"]) for x in r["spans"]] for r in data.groupBy(F.col(time).alias("t")).agg(F.collect_set(F.struct(F.col(label_start).alias("a"), F.col(label_end).alias("b"))).alias("spans")).collect()}
-    place = {t: k for k, t in enumerate(times)}
-    kind, span = data.schema[time].dataType, data.schema[label_start].dataType
-    schema = T.StructType([T.StructField("fold", T.IntegerType()), T.StructField("lo", kind), T.StructField("hi", kind), T.StructField("test", T.BooleanType())])
-    windows, spans = [], []
-    for k, groups in enumerate(folds):
-        tested = {t for g in groups for t in g}
-        windows += [(k, g[0], g[-1], True) for g in groups]
-        for g in groups:
-            after = [t for t in times[place[g[-1]] + 1 : place[g[-1]] + 1 + embargo] if t not in tested]
-            windows += [(k, t, t, False) for t in after]
-        spans += [(k, a, b) for a, b in islands([x for t in tested for x in ranges[t]])]
-    spark = data.sparkSession
-    by_fold = {k: ([w for w in windows if w[0] == k], [s for s in spans if s[0] == k]) for k in range(len(folds))}
-    part = T.StructType([T.StructField("fold", T.IntegerType()), T.StructField("windows", T.ArrayType(T.StructType(schema.fields[1:]))), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("a", span), T.StructField("b", span)])))])
-    folded = [(k, [tuple(w[1:]) for w in ws], [s[1:] for s in ss]) for k, (ws, ss) in by_fold.items()]
-    # One row that holds all folds, bounded by max_combinations; each row of the data is exploded over it in place.
-    table = spark.createDataFrame([(0, folded)], T.StructType([T.StructField("one", T.IntegerType()), T.StructField("folds", T.ArrayType(part))]))
-    rows = data.select("row_id", F.col(time).alias("t"), F.col(label_start).alias("s"), F.col(label_end).alias("e"), F.lit(0).alias("one"))
-    each = rows.join(F.broadcast(table), "one").select("row_id", "t", "s", "e", F.explode("folds").alias("f")).select("row_id", "t", "s", "e", "f.fold", "f.windows", "f.spans")
-    inside = lambda test: F.exists("windows", lambda w: (w["test"] == test) & (F.col("t") >= w["lo"]) & (F.col("t") <= w["hi"]))
-    role = F.when(inside(True), "test").when(F.exists("spans", lambda x: (F.col("s") < x["b"]) & (F.col("e") > x["a"])), "purged").when(inside(False), "embargoed").otherwise("train")
-    return each.select("fold", "row_id", "t", role.alias("role"))
-
-
-def _checked(data: DataFrame, time: str, label_start: str, label_end: str, row_id: str | None) -> DataFrame:
-    data = with_row_id(data, row_id)
     C.require_columns(data, [time, label_start, label_end])
-    C.refuse(C.checked(data, {"null interval": F.col(label_start).isNull() | F.col(label_end).isNull(), "empty interval": F.col(label_start) >= F.col(label_end)}), ["null interval", "empty interval"])
-    return data
+    rows = data.select("row_id", F.col(time).alias("t"), F.col(label_start).alias("s"), F.col(label_end).alias("e"))
+    cells = rows.groupBy("t", "s", "e").agg(F.count(F.lit(1)).alias("n")).persist()
+    bad = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    seen = cells.agg(F.countDistinct("t").alias("times"), F.count_if(F.col("t").isNull()).alias("untimed"), bad(F.col("s").isNull() | F.col("e").isNull()).alias("null interval"), bad(F.col("s") >= F.col("e")).alias("empty interval")).collect()[0]
+    C.refuse(seen.asDict(), ["null interval", "empty interval"])
+    if not seen["times"] or seen["untimed"]:
+        raise DataContractError("times must be present and not null")
+    bounds = _sizes(seen["times"], groups)
+    size, extra = divmod(seen["times"], groups)
+    i = F.col("i")
+    group = F.when(i < extra * (size + 1), F.floor(i / F.lit(size + 1))).otherwise(F.lit(extra) + F.floor((i - extra * (size + 1)) / F.lit(size))).cast("int")
+    placed = cells.select("t").distinct().withColumn("i", (F.row_number().over(Window.orderBy("t")) - 1).cast("long")).withColumn("g", group)
+    cells = cells.join(placed, "t").persist()
+    spans = islands(cells, "g").withColumnRenamed("g", "of")
+    asked = cells.select("s", "e").distinct().withColumn("of", F.explode(F.array(*[F.lit(g) for g in range(groups)])))
+    met = asof_frame(asked, spans, left_time="e", right_time="a", by=["of"], exact=False).where(F.col("match.b") > F.col("s"))
+    over = met.groupBy("s", "e").agg(F.collect_set("of").alias("over"))
+
+    fold = F.array(*[F.struct(F.lit(k).alias("fold"), F.array(*[F.lit(g) for g in gs]).alias("tests"), F.array(*[F.lit(bounds[g][1]) for g in gs]).alias("lasts")) for k, gs in enumerate(folds)])
+    after = lambda f: F.exists(f["lasts"], lambda last: (i > last) & (i <= last + embargo))
+    role = lambda f: F.when(F.array_contains(f["tests"], F.col("g")), "test").when(F.arrays_overlap(f["tests"], "over"), "purged").when(after(f), "embargoed").otherwise("train")
+    found = cells.join(over, ["s", "e"]).select("t", "s", "e", "n", "g", F.transform(fold, lambda f: F.struct(f["fold"].alias("fold"), role(f).alias("role"))).alias("roles")).persist()
+    each = rows.join(found.select("t", "s", "e", "roles"), ["t", "s", "e"]).select("row_id", "t", F.inline("roles"))
+    counts = found.select("t", "n", F.inline("roles")).groupBy("fold", "role").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.sum("n").alias("n"))
+    ends = {r["g"]: r for r in found.groupBy("g").agg(F.min("t").alias("a"), F.max("t").alias("b")).collect()}
+    return _Purged(each.select("fold", "row_id", "t", "role"), counts, [{"group": g, "start": ends[g]["a"], "end": ends[g]["b"], "times": b - a + 1} for g, (a, b) in enumerate(bounds)])
 
 
 @dataclass(frozen=True)
@@ -205,11 +214,8 @@ class PurgedKFold:
     embargo: int = 0
 
     def split(self, data: DataFrame, *, time: str = "observation_time", label_start: str = "label_start", label_end: str = "label_end", row_id: str | None = None) -> SplitResult:
-        data = _checked(data, time, label_start, label_end, row_id)
-        times = distinct_times(data, time)
-        folds = [[g] for g in groups_of(times, self.n_splits)]
-        rows = _purged(data, time, label_start, label_end, folds, times, self.embargo)
-        return _roles("cv.purged_kfold", data, rows, time, len(folds), {}, {})
+        found = _purged(with_row_id(data, row_id), time, label_start, label_end, self.n_splits, [(g,) for g in range(self.n_splits)], self.embargo)
+        return _roles("cv.purged_kfold", found.rows, found.counts, self.n_splits, {}, {})
 
 
 @dataclass(frozen=True)
@@ -236,14 +242,11 @@ class CombinatorialPurgedKFold:
         return sorted(out, key=lambda r: (r["path"], r["group"]))
 
     def split(self, data: DataFrame, *, time: str = "observation_time", label_start: str = "label_start", label_end: str = "label_end", row_id: str | None = None) -> SplitResult:
-        data = _checked(data, time, label_start, label_end, row_id)
-        times = distinct_times(data, time)
-        groups = groups_of(times, self.n_groups)
         chosen = self.combinations()
-        rows = _purged(data, time, label_start, label_end, [[groups[g] for g in c] for c in chosen], times, self.embargo)
+        found = _purged(with_row_id(data, row_id), time, label_start, label_end, self.n_groups, chosen, self.embargo)
         metrics = {"n_groups": self.n_groups, "n_combinations": len(chosen), "n_paths": comb(self.n_groups - 1, self.n_test_groups - 1)}
-        tables = {"groups": [{"group": k, "start": g[0], "end": g[-1], "times": len(g)} for k, g in enumerate(groups)], "combinations": [{"fold": k, "test_groups": list(c)} for k, c in enumerate(chosen)], "paths": self.path_table()}
-        return _roles("cv.combinatorial_purged_kfold", data, rows, time, len(chosen), metrics, tables)
+        tables = {"groups": found.groups, "combinations": [{"fold": k, "test_groups": list(c)} for k, c in enumerate(chosen)], "paths": self.path_table()}
+        return _roles("cv.combinatorial_purged_kfold", found.rows, found.counts, len(chosen), metrics, tables)
 
 
 class FoldIterator:
