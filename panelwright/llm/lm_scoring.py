@@ -276,7 +276,7 @@ def _rounds(train: DataFrame, table: Table, shape: gru.Shape, state: gru.State,
     best = judged(state.params)
     for k in range(rounds):
         # All of a stream in one task, in the order of the hash: what a replica learns is the same wherever the rows came from.
-        rows = dealt.where(F.col("round") == k).repartition(streams, "stream").sortWithinPartitions("stream", "key").select("stream", "symbols")
+        rows = dealt.where(F.col("round") == k).repartitionByRange(streams, "stream").sortWithinPartitions("stream", "key").select("stream", "symbols")
         replicas = rows.mapInArrow(_train(shape, state, rate), "chunk int, stream int, tokens long, steps long, values array<float>")
         found = replicas.groupBy("chunk").applyInPandas(_average, "chunk int, tokens long, steps long, values array<double>").toPandas().sort_values("chunk")
         if not len(found):

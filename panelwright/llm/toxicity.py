@@ -128,50 +128,67 @@ class Chain:
         return 1 / (1 + np.exp(-odds))
 
 
-def fit_chain(row: np.ndarray, feature: np.ndarray, y: np.ndarray, names: Sequence[str], size: int, *, fold: np.ndarray | None = None, folds: int = FOLDS, allowed: np.ndarray | None = None, run: Callable = lambda f, items: [f(x) for x in items]) -> tuple[Chain, np.ndarray]:
-    """A chain from (row, feature) pairs and a 0/1 matrix ``y``; also the out-of-fold log odds of every category.
+@dataclass
+class Sample:
+    """Encoded rows: features one row after another, how many each has, labels, folds, and which features each model may use.
 
-    ``fold``: that of each row; ``allowed``: for each category, fold and feature
-    whether the model that leaves out the fold may use it (the last place is the
-    model of all rows).  ``run`` maps the fits of a category.
+    ``allowed`` tells for each category, fold and feature whether the model that
+    leaves out the fold may use it (the last place is the model of all rows).
+    Held in the smallest types, since every executor gets a copy.
     """
-    n = len(y)
-    fold = np.arange(n) % folds if fold is None else fold
-    allowed = np.ones((len(names), folds + 1, size), dtype=bool) if allowed is None else allowed
-    odds = np.zeros((n, 0))
+
+    feature: np.ndarray
+    sizes: np.ndarray
+    y: np.ndarray
+    fold: np.ndarray
+    allowed: np.ndarray
+    folds: int = FOLDS
+
+    def fit(self, k: int, f: int, odds: np.ndarray) -> tuple[Linear, np.ndarray]:
+        """Model of category ``k`` from the rows outside fold ``f``, and its log odds of those inside."""
+        n, size = len(self.y), self.allowed.shape[2]
+        row, feature = np.repeat(np.arange(n), self.sizes), self.feature.astype(np.int64)
+        usable = self.allowed[k, f][feature]
+        row, feature = row[usable], feature[usable]
+        train = np.flatnonzero(self.fold != f)
+
+        def part(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            place = np.full(n, -1)
+            place[rows] = np.arange(len(rows))
+            inside = place[row] >= 0
+            return place[row[inside]], feature[inside]
+
+        model = fit_linear(*part(train), odds[train], self.y[train, k].astype(float), size)
+        test = np.flatnonzero(self.fold == f)
+        return model, np.clip(model.log_odds(*part(test), odds[test], len(test)), -8, 8)
+
+
+def fit_chain(sample: Sample, names: Sequence[str], run: Callable | None = None) -> tuple[Chain, np.ndarray]:
+    """A chain, and the out-of-fold log odds of every category.  ``run`` does the fits of a category: all folds and the whole."""
+    run = run or (lambda k, odds: [sample.fit(k, f, odds) for f in range(sample.folds + 1)])
+    odds = np.zeros((len(sample.y), 0))
     models = []
     for k in range(len(names)):
-
-        def one(f: int, k: int = k, odds: np.ndarray = odds) -> tuple[Linear, np.ndarray]:
-            usable = allowed[k, f][feature]
-            if f == folds:
-                return fit_linear(row[usable], feature[usable], odds, y[:, k], size), np.zeros(0)
-            place = np.where(fold != f, np.cumsum(fold != f) - 1, -1)
-            inside = usable & (place[row] >= 0)
-            model = fit_linear(place[row[inside]], feature[inside], odds[fold != f], y[fold != f, k], size)
-            place = np.where(fold == f, np.cumsum(fold == f) - 1, -1)
-            inside = usable & (place[row] >= 0)
-            return model, np.clip(model.log_odds(place[row[inside]], feature[inside], odds[fold == f], int((fold == f).sum())), -8, 8)
-
-        found = run(one, range(folds + 1))
-        held = np.zeros(n)
-        for f in range(folds):
-            held[fold == f] = found[f][1]
-        models.append(found[folds][0])
+        found = run(k, odds)
+        held = np.zeros(len(sample.y))
+        for f in range(sample.folds):
+            held[sample.fold == f] = found[f][1]
+        models.append(found[sample.folds][0])
         odds = np.column_stack([odds, held])
     return Chain(tuple(names), models), odds
 
 
-def on_executors(spark: SparkSession) -> Callable:
-    """A map over small numbers, one task each."""
+def on_executors(spark: SparkSession, sample: Sample) -> Callable:
+    """The fits of a category as one task each; the sample is sent once."""
+    shared = spark.sparkContext.broadcast(sample)
 
-    def run(f: Callable, items: Sequence[int]) -> list:
+    def run(k: int, odds: np.ndarray) -> list[tuple[Linear, np.ndarray]]:
         def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
-                yield pd.DataFrame({"id": part["id"], "found": [pickle.dumps(f(int(i))) for i in part["id"]]})
+                yield pd.DataFrame({"f": part["id"], "found": [pickle.dumps(shared.value.fit(k, int(f), odds)) for f in part["id"]]})
 
-        rows = spark.range(0, len(items), 1, len(items)).mapInPandas(each, "id long, found binary").collect()
-        return [pickle.loads(bytes(r["found"])) for r in sorted(rows, key=lambda r: r["id"])]
+        rows = spark.range(0, sample.folds + 1, 1, sample.folds + 1).mapInPandas(each, "f long, found binary").collect()
+        return [pickle.loads(bytes(r["found"])) for r in sorted(rows, key=lambda r: r["f"])]
 
     return run
 
@@ -260,10 +277,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Colu
     x: pd.DataFrame = rows.select("text", F.col("__id").cast("string").alias("id"), "fold", *own).mapInArrow(encode, schema).toPandas().sort_values("id", kind="stable", ignore_index=True)
     if not len(x):
         return Chain(tuple(names), [Linear(np.zeros(size), np.zeros(k), 0.0) for k in range(len(names))]), vocabulary
-    y = x[own].to_numpy(dtype=float)
     lists = [np.asarray(f, dtype=np.int64) for f in x["f"]]
-    row, feature = np.repeat(np.arange(len(x)), [len(f) for f in lists]), np.concatenate(lists)
-    return fit_chain(row, feature, y, names, size, fold=x["fold"].to_numpy(dtype=np.int64), allowed=allowed, run=on_executors(spark))[0], vocabulary
+    kind = np.uint16 if size <= 1 << 16 else np.int32
+    sample = Sample(np.concatenate(lists).astype(kind), np.array([len(f) for f in lists], dtype=np.int32), x[own].to_numpy(dtype=np.int8), x["fold"].to_numpy(dtype=np.int8), allowed)
+    return fit_chain(sample, names, on_executors(spark, sample))[0], vocabulary
 
 
 def score(docs: DataFrame, chain: Chain, vocabulary: Vocabulary, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -41,12 +41,16 @@ def test_held_out_accuracy(spark, docs, prose):
     assert p[900] == p[901] and p[None][1] > 0.5
 
 
+def sample(lists, y, size, fold=None):
+    n = len(lists)
+    fold = np.arange(n) % X.FOLDS if fold is None else fold
+    return X.Sample(np.array([f for x in lists for f in x], dtype=np.int32), np.array([len(x) for x in lists]), np.asarray(y), fold, np.ones((np.shape(y)[1], X.FOLDS + 1, size), dtype=bool))
+
+
 def test_chain_uses_earlier_categories():
     r = np.random.default_rng(1)
-    n = 600
-    y1 = (r.random(n) < 0.5).astype(float)
-    row = np.flatnonzero(y1 == 1)
-    chain, odds = X.fit_chain(row, np.zeros(len(row), dtype=np.int64), np.column_stack([y1, y1]), ["a", "b"], 1)
+    y1 = (r.random(600) < 0.5).astype(int)
+    chain, odds = X.fit_chain(sample([[0] * y for y in y1], np.column_stack([y1, y1]), 1), ["a", "b"])
     assert chain.models[1].extra[0] > 0.1 and ((odds[:, 0] > 0) == (y1 == 1)).all()
 
 
@@ -104,10 +108,10 @@ def test_features_are_chosen_within_folds(spark, prose, monkeypatch):
 def test_out_of_fold_odds_have_not_seen_the_row():
     r = np.random.default_rng(2)
     n = 200
-    y = (r.random((n, 1)) < 0.5).astype(float)
+    y = (r.random((n, 1)) < 0.5).astype(int)
     fold = r.integers(0, 5, n)
     # Each row has a feature of its own: a model that saw the row would know its label.
-    chain, odds = X.fit_chain(np.arange(n), np.arange(n), y, ["a"], n, fold=fold)
+    chain, odds = X.fit_chain(sample([[i] for i in range(n)], y, n, fold), ["a"])
     for f in range(5):
         assert len(set(np.round(odds[fold == f, 0], 9))) == 1
     assert (np.sign(chain.models[0].log_odds(np.arange(n), np.arange(n), np.zeros((n, 0)), n)) == 2 * y[:, 0] - 1).all()
@@ -115,9 +119,8 @@ def test_out_of_fold_odds_have_not_seen_the_row():
 
 def test_executors_and_driver_fit_alike(spark):
     r = np.random.default_rng(3)
-    row, feature = np.repeat(np.arange(80), 3), r.integers(0, 12, 240)
-    y = (r.random((80, 2)) < 0.4).astype(float)
-    a, b = (X.fit_chain(row, feature, y, ["a", "b"], 12, **kw) for kw in ({}, {"run": X.on_executors(spark)}))
+    s = sample([list(r.integers(0, 12, 3)) for _ in range(80)], (r.random((80, 2)) < 0.4).astype(int), 12)
+    a, b = X.fit_chain(s, ["a", "b"]), X.fit_chain(s, ["a", "b"], X.on_executors(spark, s))
     assert np.allclose(a[1], b[1]) and all(np.allclose(p.weights, q.weights) for p, q in zip(a[0].models, b[0].models, strict=True))
 
 
