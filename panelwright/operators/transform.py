@@ -174,7 +174,9 @@ def neutralize(signal: DataFrame, *, exposures: str | Sequence[str], exposure_da
 
     Rank-deficient groups take the minimum-norm solution.  Groups with fewer
     residual degrees of freedom than asked raise or are dropped.  Each group is
-    one cross-section, whose size does not grow with the history.
+    one cross-section, whose size does not grow with the history; it is solved
+    once, from the columns of the regression alone, and its coefficients meet
+    the rows in a join.
     """
     exposures, by = C.columns_of(exposures), C.columns_of(by)
     C.require_one_of(insufficient_policy, ("raise", "drop"), "insufficient_policy")
@@ -195,33 +197,29 @@ def neutralize(signal: DataFrame, *, exposures: str | Sequence[str], exposure_da
     clean = C.numeric_policy(data, numeric, null_policy).where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in categorical], F.lit(True))).persist()
     if weight:
         C.refuse(C.checked(clean, {"non-positive weight": F.col(weight) <= 0}), ["non-positive weight"])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clean.schema)
     keys = ", ".join(f"`{c}` {clean.schema[c].dataType.simpleString()}" for c in by)
 
-    def solve(pdf: pd.DataFrame):
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         x, names = _design(pdf, exposures, categorical, intercept)
         y = pdf[signal_value].to_numpy(dtype=float)
         w = np.sqrt(pdf[weight].to_numpy(dtype=float)) if weight else np.ones(len(y))
         beta, _, rank, s = np.linalg.lstsq(x * w[:, None], y * w, rcond=None)
-        fit = x @ beta
-        mean = np.average(y, weights=w * w)
-        total = float((w * w * (y - mean) ** 2).sum())
-        r2 = 1 - float((w * w * (y - fit) ** 2).sum()) / total if total > 0 else None
+        total = float((w * w * (y - np.average(y, weights=w * w)) ** 2).sum())
+        r2 = 1 - float((w * w * (y - x @ beta) ** 2).sum()) / total if total > 0 else None
         condition = float(s[0] / s[-1]) if len(s) and s[-1] > 0 else None
-        return y - fit, beta, names, int(rank), condition, r2
-
-    def residuals(pdf: pd.DataFrame) -> pd.DataFrame:
-        residual, _, _, rank, _, _ = solve(pdf)
-        return pdf.assign(residual=residual if len(pdf) - rank >= min_residual_df else np.nan)
-
-    def diagnostics(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, beta, names, rank, condition, r2 = solve(pdf)
-        row = {c: pdf[c].iloc[0] for c in by} | {"n": len(pdf), "parameters": len(beta), "rank": rank, "residual_df": len(pdf) - rank, "condition_number": condition, "weighted_r_squared": r2, "names": names, "beta": [float(b) for b in beta]}
+        row = {c: pdf[c].iloc[0] for c in by} | {"n": len(pdf), "parameters": len(beta), "rank": int(rank), "residual_df": len(pdf) - int(rank), "condition_number": condition, "weighted_r_squared": r2, "names": names, "beta": [float(b) for b in beta]}
         return pd.DataFrame([row])
 
-    out = clean.groupBy(*by).applyInPandas(residuals, fields + ", residual double").persist()
-    diag = clean.groupBy(*by).applyInPandas(diagnostics, f"{keys}, n long, parameters long, rank long, residual_df long, condition_number double, weighted_r_squared double, names array<string>, beta array<double>").persist()
-    kept = out.where(~F.isnan("residual"))
+    needed = clean.select(*by, *[F.col(c).cast("string").alias(c) if c in categorical else F.col(c) for c in dict.fromkeys([signal_value, *exposures, *([weight] if weight else [])]) if c not in by])
+    diag = needed.groupBy(*by).applyInPandas(solve, f"{keys}, n long, parameters long, rank long, residual_df long, condition_number double, weighted_r_squared double, names array<string>, beta array<double>").persist()
+    found = F.map_from_arrays("names", "beta")
+    part = lambda key: F.coalesce(F.try_element_at(F.col("__beta"), key), F.lit(0.0))
+    fit = part(F.lit("intercept"))
+    for c in exposures:
+        fit = fit + (part(F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) if c in categorical else part(F.lit(c)) * F.col(c).cast("double"))
+    solved = diag.where(F.col("residual_df") >= min_residual_df).select(*[F.col(c).alias(f"__by{k}") for k, c in enumerate(by)], found.alias("__beta"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__by{k}")) for k, c in enumerate(by)])
+    kept = clean.join(solved, same).withColumn("residual", F.col(signal_value).cast("double") - fit).drop("__beta", *[f"__by{k}" for k in range(len(by))])
     counts = diag.agg(F.sum("n"), F.count_if(F.col("rank") < F.col("parameters")), F.count(F.lit(1)), F.sum(F.when(F.col("residual_df") >= min_residual_df, F.col("n")).otherwise(0))).collect()[0]
     used, deficient, groups, retained = (v or 0 for v in counts)
     if retained < used and insufficient_policy == "raise":
@@ -232,6 +230,3 @@ def neutralize(signal: DataFrame, *, exposures: str | Sequence[str], exposure_da
     tables = {"neutralization_diagnostics": diag.drop("names", "beta"), "neutralization_coefficients": coefficients, "data_attrition": [attrition("exposures", "unmatched", input_rows=rows, retained_rows=matched, policy="drop"), attrition("exposures", "missing value", input_rows=matched, retained_rows=used, policy=null_policy), attrition("groups", "degrees of freedom", input_rows=used, retained_rows=retained, policy=insufficient_policy)]}
     return FrameResult(kept, Evidence(Metadata("signal.neutralize", parameters={"exposures": exposures, "by": by}), metrics, tuple(findings), tables))
 
-
-def valid(signal: DataFrame, value: str = "signal") -> DataFrame:
-    return signal.where(~missing(value))

@@ -586,3 +586,7 @@ def rank_panel(spark, sf_dir) -> DataFrame:
 
 
 query("average_ranks", f"SELECT time, instrument, {r(rank('signal', 'time'))} AS rank, count(*) OVER (PARTITION BY time) AS n FROM px")(rank_panel)
+
+
+# Queries on evidence register themselves here.
+from panelwright.plans import evidence  # noqa: E402, F401
