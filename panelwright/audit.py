@@ -11,6 +11,8 @@ from typing import Any
 from panelwright.errors import ReportError
 from panelwright.result import Evidence, Finding, Metadata, Severity, State, strict_json
 
+#: Findings are listed worst first.
+_STATE_ORDER = (State.FAIL, State.WARN, State.UNKNOWN, State.PASS, State.NOT_APPLICABLE)
 CREDIT = {State.PASS: 1.0, State.WARN: 0.5, State.FAIL: 0.0, State.UNKNOWN: 0.0}
 
 
@@ -19,8 +21,9 @@ class AuditContext:
     results: Mapping[str, Evidence] = field(default_factory=dict)
     policies: Mapping[str, Any] = field(default_factory=dict)
 
-    def of(self, pattern: str) -> Evidence | None:
-        return next((e for e in self.results.values() if fnmatchcase(e.metadata.method, pattern)), None)
+    def of(self, name: str, pattern: str) -> Evidence | None:
+        """The result of that name, else the first whose method matches."""
+        return self.results.get(name) or next((e for e in self.results.values() if fnmatchcase(e.metadata.method, pattern)), None)
 
 
 @dataclass(frozen=True)
@@ -41,88 +44,100 @@ class AuditRule:
         return Finding(self.rule_id, self.title, message, state, self.severity, self.category, {"weight": self.weight, "version": self.rule_version})
 
 
-def _metric(pattern: str, name: str, good: float, fair: float, absolute: bool = False):
-    """PASS from ``good`` on, WARN from ``fair`` on, FAIL below; UNKNOWN without the evidence or the number."""
+def _number(value: Any) -> float | None:
+    return float(value) if isinstance(value, int | float) and not isinstance(value, bool) else None
 
-    def judge(context: AuditContext) -> tuple[State, str]:
-        e = context.of(pattern)
-        value = e.metrics.get(name) if e else None
-        if value is None:
-            return State.UNKNOWN, f"{name} is not known."
-        v = abs(value) if absolute else value
-        return (State.PASS if v >= good else State.WARN if v >= fair else State.FAIL), f"{name} = {value:.6g}."
 
-    return judge
+def _graded(value: float | None, good: float, fair: float, name: str) -> tuple[State, str]:
+    if value is None:
+        return State.UNKNOWN, f"{name} is not known."
+    return (State.PASS if value >= good else State.WARN if value >= fair else State.FAIL), f"{name} is {value:.6g}."
 
 
-def _no_finding(pattern: str, bad: Mapping[str, State], clear: str):
-    """The worst of certain findings of an evidence, or PASS when it has none of them."""
+def _with(name: str, pattern: str, judge: Callable[[Evidence, AuditContext], tuple[State, str]]):
+    """A judgement on one evidence; unknown where it was not supplied."""
 
-    def judge(context: AuditContext) -> tuple[State, str]:
-        e = context.of(pattern)
-        if e is None:
-            return State.UNKNOWN, "No evidence."
-        for code, state in bad.items():
-            if code in e.codes():
-                return state, f"{code} was found."
-        return State.PASS, clear
+    def whole(context: AuditContext) -> tuple[State, str]:
+        e = context.of(name, pattern)
+        return judge(e, context) if e is not None else (State.UNKNOWN, f"No {name} evidence was supplied.")
 
-    return judge
+    return whole
 
 
-def _interval(context: AuditContext) -> tuple[State, str]:
-    e = context.of("validation.bootstrap.*")
-    if e is None:
-        return State.UNKNOWN, "No bootstrap."
-    if e.metrics["n_effective"] < 30:
-        return State.WARN, f"Only {e.metrics['n_effective']} observations."
-    low, high = e.metrics["confidence_lower"], e.metrics["confidence_upper"]
-    return (State.PASS, "The interval excludes zero.") if low > 0 or high < 0 else (State.WARN, "The interval holds zero.")
+def _ic_of(e: Evidence, context: AuditContext) -> Mapping[str, Any] | None:
+    """The summary of the declared horizon, or of the only one; a plain result is its own summary."""
+    rows = e.rows("ic_summary") if "ic_summary" in e.tables else [e.metrics]
+    declared = context.policies.get("inference_horizon")
+    found = [x for x in rows if "horizon" not in x or declared is None or x["horizon"] == declared]
+    return found[0] if len(found) == 1 else None
 
 
-def _p_value(pattern: str, name: str = "p_value"):
-    def judge(context: AuditContext) -> tuple[State, str]:
-        e = context.of(pattern)
-        p = e.metrics.get(name) if e else None
-        if p is None:
-            return State.UNKNOWN, "No test."
-        return (State.PASS if p <= 0.05 else State.WARN), f"p = {p:.4f}."
+def _ic_defined(e: Evidence, context: AuditContext) -> tuple[State, str]:
+    found = _ic_of(e, context)
+    if found is None:
+        return State.UNKNOWN, "The horizon to judge is not resolved."
+    return (State.PASS, "The mean coefficient is defined.") if _number(found.get("mean_ic")) is not None else (State.FAIL, "No period has a defined coefficient.")
+
+
+def _ic_support(e: Evidence, context: AuditContext) -> tuple[State, str]:
+    found = _ic_of(e, context)
+    return (State.UNKNOWN, "The horizon to judge is not resolved.") if found is None else _graded(_number(found.get("n_periods")) or 0.0, 60, 20, "The number of periods")
+
+
+def _decay_coverage(e: Evidence, context: AuditContext) -> tuple[State, str]:
+    rows = e.rows("ic_decay") if "ic_decay" in e.tables else []
+    if not rows:
+        return State.UNKNOWN, "No coefficients by horizon."
+    return _graded(sum(_number(x.get("mean_ic")) is not None for x in rows), 3, 2, "The number of horizons with a coefficient")
+
+
+def _interval(e: Evidence, context: AuditContext) -> tuple[State, str]:
+    low, high, n = (_number(e.metrics.get(k)) for k in ("confidence_lower", "confidence_upper", "n_raw"))
+    if low is None or high is None or n is None:
+        return State.UNKNOWN, "The interval or its number of periods is not known."
+    if n < 30:
+        return State.WARN, f"Only {n:.0f} periods were resampled."
+    return (State.PASS, "The interval is positive.") if low > 0 else (State.FAIL, "The interval is negative.") if high < 0 else (State.WARN, "The interval holds zero.")
 
-    return judge
 
+def _of_method(method: str, message: str):
+    return lambda e, context: (State.PASS, message) if e.metadata.method == method else (State.UNKNOWN, f"{e.metadata.method} does not show it.")
 
-def _pbo(context: AuditContext) -> tuple[State, str]:
-    e = context.of("validation.probability_of_backtest_overfitting")
-    if e is None:
-        return State.UNKNOWN, "No evidence."
-    p = e.metrics["pbo"]
-    return (State.PASS if p <= 0.2 else State.WARN if p <= 0.5 else State.FAIL), f"Probability {p:.3f}."
 
+def _without(code: str, message: str):
+    return lambda e, context: (State.UNKNOWN, f"{code} was found.") if code in e.codes() else (State.PASS, message)
 
-def _horizons(context: AuditContext) -> tuple[State, str]:
-    e = context.of("signal.decay")
-    if e is None:
-        return State.UNKNOWN, "No decay evidence."
-    n = e.metrics["n_horizons"]
-    return (State.PASS if n >= 3 else State.WARN if n >= 2 else State.FAIL), f"{n} horizons."
+
+def _policy(name: str, strategies_only: bool = False):
+    """A declared safeguard: confirmed only by true; unknown when not declared; void for a study of signals alone if it needs trades."""
+
+    def judge(context: AuditContext) -> tuple[State, str] | None:
+        if strategies_only and context.policies.get("study_type") == "signal":
+            return None
+        if name not in context.policies:
+            return State.UNKNOWN, f"{name} was not declared."
+        return (State.PASS, f"{name} is declared.") if context.policies[name] is True else (State.WARN, f"{name} is not confirmed.")
+
+    return judge
 
 
 def default_rules() -> tuple[AuditRule, ...]:
-    rule = AuditRule
+    """Ids, titles' subjects, categories, severities, weights and thresholds of the scored rules."""
+    high, medium, critical = Severity.HIGH, Severity.MEDIUM, Severity.CRITICAL
     return (
-        rule("IC_PERIOD_SUPPORT", "Periods with a coefficient", "statistical_validity", Severity.HIGH, 2.0, _metric("signal.ic.*", "n_periods", 60, 20)),
-        rule("IC_DEFINED", "Coefficients defined", "statistical_validity", Severity.MEDIUM, 1.0, _no_finding("signal.ic.*", {"IC_UNDEFINED_GROUPS": State.WARN}, "All groups are defined.")),
-        rule("MONOTONICITY", "Bucket monotonicity", "statistical_validity", Severity.MEDIUM, 1.0, _metric("signal.quantiles", "spearman_monotonicity", 0.7, 0.4, True)),
-        rule("TURNOVER_MEASURED", "Turnover measured", "implementation", Severity.LOW, 1.0, _metric("signal.turnover", "n_transitions", 20, 1)),
-        rule("DECAY_MEASURED", "Decay measured", "statistical_validity", Severity.LOW, 1.0, _horizons),
-        rule("BOOTSTRAP_INTERVAL", "Interval of the mean", "statistical_validity", Severity.HIGH, 2.0, _interval),
-        rule("LABEL_PRICES", "Price adjustment", "data_integrity", Severity.HIGH, 1.0, _no_finding("labels.forward_returns", {"PRICE_ADJUSTMENT_UNKNOWN": State.UNKNOWN}, "Declared.")),
-        rule("LABEL_DELISTINGS", "Delisting returns", "data_integrity", Severity.HIGH, 1.0, _no_finding("labels.forward_returns", {"DELISTING_RETURNS_UNKNOWN": State.UNKNOWN}, "Supplied.")),
-        rule("POINT_IN_TIME", "No future data", "temporal_integrity", Severity.CRITICAL, 3.0, _no_finding("bias.future_data_check", {"BIAS_FUTURE_DATA": State.FAIL, "BIAS_AVAILABILITY_MISSING": State.UNKNOWN}, "All rows were known in time.")),
-        rule("SURVIVORSHIP", "Survivorship", "temporal_integrity", Severity.CRITICAL, 2.0, _no_finding("bias.survivorship_diagnostics", {"BIAS_SURVIVORSHIP_CONFIRMED": State.FAIL, "BIAS_SURVIVORSHIP_UNKNOWN": State.UNKNOWN}, "Declared complete.")),
-        rule("OVERFITTING", "Backtest overfitting", "backtest_overfitting", Severity.HIGH, 2.0, _pbo),
-        rule("DATA_SNOOPING", "Data snooping", "data_snooping", Severity.HIGH, 2.0, _p_value("validation.white_reality_check")),
-        rule("COST_STRESS", "Net of stressed costs", "implementation", Severity.HIGH, 2.0, _metric("costs.stress", "worst_net_pnl", 0.0, float("-inf"))),
+        AuditRule("IC_DEFINED", "Coefficient is defined", "statistical_validity", high, 12.0, _with("ic", "signal.ic.*", _ic_defined), "2"),
+        AuditRule("IC_PERIOD_SUPPORT", "Coefficient has enough periods", "statistical_validity", high, 12.0, _with("ic", "signal.ic.*", _ic_support), "2"),
+        AuditRule("QUANTILE_MONOTONICITY", "Bucket returns are ordered", "statistical_validity", medium, 10.0, _with("quantiles", "signal.quantiles", lambda e, context: _graded(_number(e.metrics.get("spearman_monotonicity")), 0.7, 0.4, "Monotonicity"))),
+        AuditRule("BOOTSTRAP_INTERVAL", "Interval supports the mean", "statistical_validity", high, 12.0, _with("bootstrap", "validation.bootstrap.*", _interval), "2"),
+        AuditRule("HORIZON_DECAY_COVERAGE", "Decay covers several horizons", "robustness", medium, 10.0, _with("decay", "signal.decay", _decay_coverage), "2"),
+        AuditRule("LABEL_INTERVALS_PRESENT", "Labels carry their intervals", "temporal_integrity", critical, 10.0, _with("labels", "labels.*", _of_method("labels.forward_returns", "Sample, entry and exit times are explicit."))),
+        AuditRule("PURGED_VALIDATION_SUPPLIED", "Validation purges intervals", "temporal_integrity", high, 10.0, _with("split", "cv.*", _of_method("cv.purged_kfold", "A split with purging was supplied."))),
+        AuditRule("PRICE_ADJUSTMENT_DECLARED", "Price adjustment is declared", "data_integrity", high, 8.0, _with("labels", "labels.*", _without("PRICE_ADJUSTMENT_UNKNOWN", "Declared."))),
+        AuditRule("DELISTING_HANDLING_DECLARED", "Delistings are handled", "data_integrity", high, 8.0, _with("labels", "labels.*", _without("DELISTING_RETURNS_UNKNOWN", "Supplied."))),
+        AuditRule("TURNOVER_MEASURED", "Turnover is measured", "costs_capacity", medium, 4.0, _with("turnover", "signal.turnover", lambda e, context: (State.PASS, "Measured.") if _number(e.metrics.get("mean_rank_turnover")) is not None else (State.UNKNOWN, "No consecutive observations."))),
+        AuditRule("SURVIVORSHIP_HANDLING_DECLARED", "Survivorship is handled", "temporal_integrity", high, 2.0, _policy("survivorship_safe")),
+        AuditRule("TRIAL_HISTORY_AVAILABLE", "Trials are recorded", "experiment_integrity", high, 2.0, _policy("trial_history_available")),
+        AuditRule("TRANSACTION_COST_EVIDENCE", "Costs are known", "costs_capacity", high, 4.0, _policy("transaction_costs_available", strategies_only=True)),
     )
 
 
@@ -131,21 +146,31 @@ def run_audit(context: AuditContext, *, rules: Sequence[AuditRule] | None = None
 
     Score is 100 times earned over possible weight; what is unknown earns
     nothing, what does not apply does not count.  Coverage is the assessed
-    share of what applies.
+    share of the weight that applies.
     """
     rules = tuple(rules if rules is not None else default_rules())
     if len({r.rule_id for r in rules}) < len(rules):
         raise ReportError("two rules have one id")
     pairs = [(r, r.evaluate(context)) for r in rules]
     applied = [(r, f) for r, f in pairs if f.state != State.NOT_APPLICABLE]
-    possible = sum(r.weight for r, _ in applied)
-    earned = sum(r.weight * CREDIT[f.state] for r, f in applied)
-    assessed = [x for x in applied if x[1].state != State.UNKNOWN]
-    components = [{"rule": r.rule_id, "state": str(f.state), "weight": r.weight, "earned": r.weight * CREDIT.get(f.state, 0.0)} for r, f in pairs]
-    findings = tuple(sorted((f for _, f in pairs), key=lambda f: (f.category, list(State).index(f.state), -list(Severity).index(f.severity), f.code)))
+
+    def totals(of: Sequence[tuple[AuditRule, Finding]]) -> dict[str, float]:
+        return {"earned_weight": sum(r.weight * CREDIT[f.state] for r, f in of), "possible_weight": sum(r.weight for r, _ in of), "unknown_weight": sum(r.weight for r, f in of if f.state == State.UNKNOWN)}
+
+    def score(t: Mapping[str, float]) -> float:
+        return 100 * t["earned_weight"] / t["possible_weight"] if t["possible_weight"] else 0.0
+
+    whole = totals(applied)
+    components = []
+    for category in sorted({r.category for r, _ in applied}):
+        part = totals([x for x in applied if x[0].category == category])
+        components.append({"category": category, **part, "score": score(part)})
+    findings = tuple(sorted((f for _, f in pairs), key=lambda f: (f.category, _STATE_ORDER.index(f.state), -list(Severity).index(f.severity), f.code)))
     count = lambda s: sum(f.state == s for f in findings)
-    metrics = {"score": 100 * earned / possible if possible else None, "coverage": len(assessed) / len(applied) if applied else None, "earned_weight": earned, "possible_weight": possible, "finding_count": len(findings), "failure_count": count(State.FAIL), "warning_count": count(State.WARN), "unknown_count": count(State.UNKNOWN), "not_applicable_count": count(State.NOT_APPLICABLE)}
-    return Evidence(Metadata("audit.v0_1"), metrics, findings, {"score_components": components, "finding_summary": [{"state": str(s), "count": count(s)} for s in State]})
+    coverage = 1 - whole["unknown_weight"] / whole["possible_weight"] if whole["possible_weight"] else 1.0
+    metrics = {"robustness_score": score(whole), "evidence_coverage": coverage, **whole, "finding_count": len(findings), "failure_count": count(State.FAIL), "warning_count": count(State.WARN), "unknown_count": count(State.UNKNOWN), "not_applicable_count": count(State.NOT_APPLICABLE)}
+    parameters = {"score_version": 1, "unknown_credit": CREDIT[State.UNKNOWN], "warn_credit": CREDIT[State.WARN], "not_applicable_policy": "excluded", "rule_versions": {r.rule_id: int(r.rule_version) for r in rules}, "result_methods": {n: e.metadata.method for n, e in context.results.items()}}
+    return Evidence(Metadata("audit.v0_1", parameters=parameters), metrics, findings, {"score_components": components, "finding_summary": [{"state": str(s), "count": count(s)} for s in State]})
 
 
 def audit(*, results: Mapping[str, Evidence] | None = None, policies: Mapping[str, Any] | None = None, rules: Sequence[AuditRule] | None = None) -> Evidence:
@@ -177,24 +202,26 @@ class Requirement:
         return any(fnmatchcase(method, m) for m in self.methods)
 
 
-#: Capability: title, category, methods, then R, O or N for the signal, strategy and options scopes.
+_REQUIRED, _OPTIONAL, _NONE = Disposition.REQUIRED, Disposition.OPTIONAL, Disposition.NOT_APPLICABLE
+
+#: Fixed values of the standard profile.  Capability: title, category, methods, severity when missing, and its disposition for the signal, strategy and options scopes.
 CAPABILITIES = {
-    "labels": ("Forward returns", "data_integrity", ("labels.*",), "RON"),
-    "rank_relation": ("Information coefficient", "statistical_validity", ("signal.ic.*",), "RON"),
-    "buckets": ("Bucket returns", "statistical_validity", ("signal.quantiles", "signal.bucket_returns", "signal.bucketize"), "RON"),
-    "turnover": ("Turnover", "implementation", ("signal.turnover", "signal.portfolio_projection"), "RON"),
-    "decay": ("Decay", "statistical_validity", ("signal.decay", "signal.fit_decay"), "OON"),
-    "neutralization": ("Neutralisation", "statistical_validity", ("signal.neutralize",), "OON"),
-    "events": ("Event study", "statistical_validity", ("events.*",), "OON"),
-    "cross_validation": ("Temporal validation", "temporal_integrity", ("cv.*",), "ORO"),
-    "resampling": ("Resampled inference", "statistical_validity", ("validation.bootstrap.*", "validation.permutation.*", "validation.joint_stationary_bootstrap", "validation.sharpe_inference"), "RRO"),
-    "selection": ("Selection-aware inference", "data_snooping", ("validation.probability_of_backtest_overfitting", "validation.white_reality_check", "validation.hansen_spa", "validation.multiple_testing.*"), "OOO"),
-    "robustness": ("Robustness", "robustness", ("robustness.*", "validation.parameter_surface", "regime.*"), "OOO"),
-    "costs": ("Costs and capacity", "implementation", ("costs.*",), "NRO"),
-    "point_in_time": ("Point in time", "temporal_integrity", ("bias.*",), "RRO"),
-    "source": ("Source contract", "data_integrity", ("adapters.*",), "ORO"),
-    "registry": ("Experiment record", "research_process", ("experiment.*",), "OOO"),
-    "options": ("Option chain", "data_integrity", ("options.*",), "NNR"),
+    "signal_diagnostics": ("Signal and labels", "statistical_validity", ("labels.*", "signal.*"), Severity.HIGH, (_REQUIRED, _OPTIONAL, _OPTIONAL)),
+    "temporal_validation": ("Temporal validation", "temporal_integrity", ("cv.*",), Severity.CRITICAL, (_REQUIRED, _REQUIRED, _REQUIRED)),
+    "resampling_inference": ("Resampled inference", "statistical_validity", ("validation.bootstrap.*", "validation.permutation.*"), Severity.HIGH, (_REQUIRED, _REQUIRED, _REQUIRED)),
+    "advanced_inference": ("Selection-aware inference", "statistical_validity", ("validation.sharpe_inference", "validation.probability_of_backtest_overfitting", "validation.joint_stationary_bootstrap", "validation.white_reality_check", "validation.hansen_spa"), Severity.HIGH, (_OPTIONAL, _REQUIRED, _REQUIRED)),
+    "experiment_lineage": ("Experiment record", "experiment_integrity", ("experiment.*",), Severity.HIGH, (_REQUIRED, _REQUIRED, _REQUIRED)),
+    "multiple_testing": ("Multiple testing", "experiment_integrity", ("validation.multiple_testing.*",), Severity.HIGH, (_REQUIRED, _REQUIRED, _REQUIRED)),
+    "parameter_robustness": ("Robust to parameters", "robustness", ("validation.parameter_surface", "robustness.continuous_perturbation"), Severity.HIGH, (_REQUIRED, _REQUIRED, _REQUIRED)),
+    "temporal_robustness": ("Robust over subperiods", "robustness", ("robustness.subperiod_analysis",), Severity.HIGH, (_REQUIRED, _REQUIRED, _REQUIRED)),
+    "universe_robustness": ("Robust to the universe", "robustness", ("robustness.universe_perturbation",), Severity.HIGH, (_REQUIRED, _REQUIRED, _OPTIONAL)),
+    "regime_robustness": ("Robust over regimes", "robustness", ("regime.*",), Severity.HIGH, (_REQUIRED, _REQUIRED, _OPTIONAL)),
+    "execution_realism": ("Costs, liquidity, capacity", "costs_capacity", ("costs.*",), Severity.HIGH, (_NONE, _REQUIRED, _REQUIRED)),
+    "point_in_time_data": ("Data as known", "data_integrity", ("bias.asof_join", "bias.future_data_check", "bias.revision_diagnostics", "bias.validate_dataset"), Severity.CRITICAL, (_REQUIRED, _REQUIRED, _REQUIRED)),
+    "survivorship": ("Survivorship and universes", "temporal_integrity", ("bias.survivorship_diagnostics", "bias.membership_at", "bias.universe_drift"), Severity.CRITICAL, (_REQUIRED, _REQUIRED, _OPTIONAL)),
+    "adapter_provenance": ("Source contracts", "operational", ("adapters.*",), Severity.MEDIUM, (_OPTIONAL, _OPTIONAL, _OPTIONAL)),
+    "plugin_provenance": ("Plugins activated", "operational", ("plugins.*",), Severity.MEDIUM, (_OPTIONAL, _OPTIONAL, _OPTIONAL)),
+    "options_evidence": ("Option chains", "statistical_validity", ("options.*",), Severity.HIGH, (_NONE, _NONE, _REQUIRED)),
 }
 
 
@@ -224,8 +251,7 @@ class AuditProfile:
 def standard_profile(scope: str = "strategy") -> AuditProfile:
     scope = Scope(scope)
     at = list(Scope).index(scope)
-    kinds = {"R": Disposition.REQUIRED, "O": Disposition.OPTIONAL, "N": Disposition.NOT_APPLICABLE}
-    return AuditProfile(f"standard-{scope}", "1", scope, tuple(Requirement(k, t, c, m, kinds[d[at]]) for k, (t, c, m, d) in CAPABILITIES.items()))
+    return AuditProfile(f"standard-{scope}", "1", scope, tuple(Requirement(k, t, c, m, d[at], v) for k, (t, c, m, v, d) in CAPABILITIES.items()))
 
 
 def run_standard_audit(context: AuditContext, *, scope: str = "strategy", profile: AuditProfile | None = None) -> Evidence:

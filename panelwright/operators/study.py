@@ -84,4 +84,4 @@ class SignalStudy:
         if len(series) >= 2:
             df = self.data.sparkSession.createDataFrame([(float(v),) for v in series], "value double")
             results["bootstrap"] = resample.bootstrap(df, method="iid", resamples=resamples, seed=seed)
-        return audits.audit(results=results)
+        return audits.audit(results=results, policies={"study_type": "signal", "inference_horizon": horizon})

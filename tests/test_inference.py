@@ -201,11 +201,39 @@ def test_documents_and_bundles(series, tmp_path):
         rep.bundle(one)
 
 
+def test_audit_rules_score_by_weight():
+    from panelwright.result import Metadata
+
+    ev = lambda method, metrics=None, **tables: Evidence(Metadata(method), metrics or {}, (), tables)
+    results = {
+        "ic": ev("signal.ic.spearman", {"mean_ic": 0.1, "n_periods": 30}),
+        "quantiles": ev("signal.quantiles", {"spearman_monotonicity": 0.3}),
+        "bootstrap": ev("validation.bootstrap.iid", {"confidence_lower": 0.01, "confidence_upper": 0.2, "n_raw": 40}),
+        "decay": ev("signal.decay", ic_decay=[{"horizon": h, "mean_ic": 0.1 if h < 5 else None} for h in (1, 2, 5)]),
+        "labels": ev("labels.forward_returns"),
+        "split": ev("cv.walk_forward"),
+    }
+    found = audit.audit(results=results, policies={"study_type": "signal", "survivorship_safe": True, "trial_history_available": False})
+    state = {f.code: str(f.state).upper() for f in found.findings}
+    assert {k: state[k] for k in ("IC_DEFINED", "IC_PERIOD_SUPPORT", "QUANTILE_MONOTONICITY", "BOOTSTRAP_INTERVAL", "HORIZON_DECAY_COVERAGE", "PURGED_VALIDATION_SUPPLIED")} == {"IC_DEFINED": "PASS", "IC_PERIOD_SUPPORT": "WARN", "QUANTILE_MONOTONICITY": "FAIL", "BOOTSTRAP_INTERVAL": "PASS", "HORIZON_DECAY_COVERAGE": "WARN", "PURGED_VALIDATION_SUPPLIED": "UNKNOWN"}
+    assert state["TRANSACTION_COST_EVIDENCE"] == "NOT_APPLICABLE" and state["TRIAL_HISTORY_AVAILABLE"] == "WARN"
+    possible = 12 * 3 + 10 * 4 + 8 * 2 + 4 + 2 * 2
+    earned = 12 + 6 + 0 + 12 + 5 + 10 + 8 + 8 + 2 + 1
+    assert found.metrics["possible_weight"] == possible and found.metrics["earned_weight"] == earned and found.metrics["unknown_weight"] == 14
+    assert found.metrics["robustness_score"] == pytest.approx(100 * earned / possible) and found.metrics["evidence_coverage"] == pytest.approx(1 - 14 / possible)
+
+
+def test_standard_profile_by_scope():
+    kinds = {s: {r.capability_id: str(r.disposition) for r in audit.standard_profile(s).requirements} for s in ("signal", "strategy", "options")}
+    assert all(len(k) == 16 for k in kinds.values())
+    assert [kinds[s]["execution_realism"] for s in kinds] == ["not_applicable", "required", "required"] and kinds["options"]["survivorship"] == "optional"
+
+
 def test_standard_audit(series):
     _, df = series
     found = audit.standard_audit(results={"b": resample.bootstrap(df, method="iid", resamples=100, seed=1)}, scope="signal")
     assert found.metrics["recognized_result_count"] == 1 and not found.metrics["required_evidence_complete"]
-    assert "DOMAIN_RESAMPLING_BOOTSTRAP_IID_ASSUMPTION" in found.codes()
+    assert "DOMAIN_RESAMPLING_INFERENCE_BOOTSTRAP_IID_ASSUMPTION" in found.codes()
 
 
 def test_sources_and_config(spark, tmp_path):

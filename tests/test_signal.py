@@ -137,5 +137,5 @@ def test_decay_fit_recovers_the_half_life(spark):
 def test_study_audit(panel, label_table):
     study = SignalStudy(panel.select("time", "instrument", "signal"), labels_data=label_table)
     found = study.audit(horizon="1D", quantiles=3, resamples=200)
-    assert 0 <= found.metrics["score"] <= 100 and found.metrics["finding_count"] == 13
-    assert pd.DataFrame(found.rows("score_components"))["weight"].sum() == found.metrics["possible_weight"]
+    assert 0 <= found.metrics["robustness_score"] <= 100 and found.metrics["finding_count"] == 13
+    assert pd.DataFrame(found.rows("score_components"))["possible_weight"].sum() == found.metrics["possible_weight"]
