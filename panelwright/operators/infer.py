@@ -8,12 +8,13 @@ from math import isfinite, sqrt
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright import contracts as C
 from panelwright.errors import DataContractError, MethodContractError
 from panelwright.functions.columns import infinite, missing
+from panelwright.registry import ExperimentRegistry
 from panelwright.result import Evidence, Finding, Metadata, Severity, State
 
 #: Fixed value: the Euler-Mascheroni constant.
@@ -115,8 +116,22 @@ def adjusted_frame(data: DataFrame, *, p_value: str = "p_value", trial: str = "t
     return data.join(adjusted, F.col(p_value).cast("double") == p).drop("__p").withColumn("rejected", F.col("adjusted_p_value") <= alpha)
 
 
-def multiple_testing(data: DataFrame, *, p_value: str = "p_value", trial: str = "trial_id", method: str = "bh", alpha: float = 0.05, effective_trials: float | None = None, null_policy: str = "raise") -> Evidence:
-    """Adjusted p-values of a family of trials."""
+def registry_p_values(spark: SparkSession, registry: ExperimentRegistry, *, metric: str = "p_value", family: str | None = None) -> DataFrame:
+    """``trial_id, p_value`` of the latest attempt of every trial; refused unless each of these completed with the metric."""
+    latest = {a["trial_id"]: a for a in registry.attempts(family)}
+    values = {t: a["metrics"].get(metric) if a["status"] == "completed" else None for t, a in latest.items()}
+    if open_ := sum(v is None for v in values.values()):
+        raise DataContractError(f"{open_} trials have no completed latest attempt with {metric}")
+    return spark.createDataFrame([(t, float(v)) for t, v in sorted(values.items())], "trial_id string, p_value double")
+
+
+def multiple_testing(data: DataFrame | ExperimentRegistry, *, p_value: str = "p_value", trial: str = "trial_id", method: str = "bh", alpha: float = 0.05, effective_trials: float | None = None, null_policy: str = "raise") -> Evidence:
+    """Adjusted p-values of a family of trials, given as a frame or by the record of their attempts."""
+    if isinstance(data, ExperimentRegistry):
+        spark = SparkSession.getActiveSession()
+        if spark is None:
+            raise MethodContractError("a registry needs an active session")
+        data, p_value, trial = registry_p_values(spark, data, metric=p_value), "p_value", "trial_id"
     if not 0 < alpha < 1 or effective_trials is not None and (method != "bonferroni" or effective_trials < 1):
         raise MethodContractError("alpha must lie in (0, 1); effective trials go with bonferroni only")
     C.require_columns(data, [p_value, trial])

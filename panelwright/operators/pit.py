@@ -19,6 +19,10 @@ from panelwright.functions.columns import infinite
 from panelwright.result import Evidence, Finding, FrameResult, Metadata, Severity, State
 
 
+#: How a source treats revisions: every version as it became known (under two names), the last one only, none at all, or nothing is said.
+REVISION_MODES = ("point_in_time", "versioned", "latest_only", "not_applicable", "unknown")
+
+
 class SurvivorshipStatus(StrEnum):
     CONFIRMED_SAFE = "confirmed_safe"
     CONFIRMED_BIASED = "confirmed_biased"
@@ -77,7 +81,7 @@ def asof_join(left: DataFrame, right: DataFrame, *, left_time: str = "decision_t
     """
     by = C.columns_of(by)
     C.require_one_of(unmatched, ("keep", "drop", "raise"), "unmatched")
-    C.require_one_of(revision_mode, ("versioned", "latest_only", "unknown"), "revision_mode")
+    C.require_one_of(revision_mode, REVISION_MODES, "revision_mode")
     if tolerance is not None and _limit(tolerance, left.schema[left_time].dataType) < 0:
         raise MethodContractError("the tolerance must not be negative")
     C.require_columns(left, [left_time, *by], "left")
@@ -144,7 +148,9 @@ def revision_frame(data: DataFrame, *, entity: Sequence[str], effective_time: st
 
 def revision_diagnostics(data: DataFrame, *, entity: str | Sequence[str] = "instrument", effective_time: str = "effective_time", available_time: str = "available_time", revision: str = "revision_id", value: str | None = None, source_mode: str = "unknown") -> Evidence:
     entity = C.columns_of(entity)
-    C.require_one_of(source_mode, ("versioned", "latest_only", "unknown"), "source_mode")
+    C.require_one_of(source_mode, REVISION_MODES, "source_mode")
+    if source_mode == "not_applicable":
+        raise MethodContractError("data without revisions have none to diagnose")
     C.require_columns(data, [*entity, effective_time, available_time, revision, *([value] if value else [])])
     C.require_unique(data, [*entity, effective_time, revision])
     facts = revision_frame(data, entity=entity, effective_time=effective_time, available_time=available_time, revision=revision, value=value).persist()

@@ -138,13 +138,21 @@ class BundleManifest:
         return out
 
 
+_ADDRESS = re.compile(r"(?P<scheme>\b(?:ftps?|gs|https?|s3)://)(?:[^/?#\s@]*@)?(?P<place>[^?#\s]*)(?:[?#]\S*)?", re.IGNORECASE)
+
+
 def redacted(value: Any) -> Any:
     """Credentials and local paths taken out."""
     if isinstance(value, Mapping):
         return {k: "[redacted]" if _SECRET.search(str(k)) else redacted(v) for k, v in value.items()}
     if isinstance(value, list | tuple):
         return [redacted(v) for v in value]
-    return _LOCAL.sub("[path]", value) if isinstance(value, str) else value
+    return _LOCAL.sub("[path]", _without_credentials(value)) if isinstance(value, str) else value
+
+
+def _without_credentials(text: str) -> str:
+    """Addresses without what may carry credentials: user, query and fragment."""
+    return _ADDRESS.sub(lambda m: m["scheme"] + m["place"], text)
 
 
 def _set_digest(artifacts: list[dict]) -> str:

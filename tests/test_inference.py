@@ -201,6 +201,26 @@ def test_documents_and_bundles(series, tmp_path):
         rep.bundle(one)
 
 
+def test_multiple_testing_of_a_registry(spark):
+    from panelwright.registry import ExperimentRegistry
+
+    book = ExperimentRegistry()
+    first = book.record("f", "a", parameters={"k": 1}, metrics={"p_value": 0.9})
+    book.record("f", "a", parameters={"k": 1}, metrics={"p_value": 0.01}, supersedes=first)
+    book.record("f", "b", parameters={"k": 2}, metrics={"p_value": 0.04})
+    found = infer.multiple_testing(book, method="holm")
+    assert found.metrics["trial_count"] == 2 and sorted(x["adjusted_p_value"] for x in found.rows("adjusted_p_values")) == pytest.approx([0.02, 0.04])
+    book.record("f", "c", parameters={"k": 3}, status="failed")
+    with pytest.raises(DataContractError):
+        infer.multiple_testing(book)
+    book.close()
+
+
+def test_addresses_lose_their_credentials():
+    got = report.redacted({"a": "see https://me:pw@host.example/x/y?token=1#z and s3://bucket/k", "url": ["ftp://u@h/p"]})
+    assert got == {"a": "see https://host.example/x/y and s3://bucket/k", "url": ["ftp://h/p"]}
+
+
 def test_audit_rules_score_by_weight():
     from panelwright.result import Metadata
 
