@@ -85,7 +85,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limit_table(token_counts.length_histogram(_read(spark, sf_dir, "documents")))
 
 
-@_query("op10_ngram_join")
+NGRAM_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS s FROM w),
+size AS (SELECT doc_id, len(s) AS n FROM sets),
+held AS (SELECT doc_id, unnest(s) AS g FROM sets),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM held x JOIN held y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM size UNION SELECT link.b, reach.r FROM reach JOIN link ON link.a = reach.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, min(r) AS component_id FROM reach JOIN size USING (doc_id) GROUP BY doc_id, n
+"""
+
+
+@_query("op10_ngram_join", NGRAM_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -117,3 +129,51 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(_read(spark, sf_dir, "pages"))
 
+
+# Parts of operators that SQL can state although it cannot state the whole.
+
+
+QUALITY_BASE_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, row_number() OVER () AS r FROM documents),
+win AS (SELECT r, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) AS g FROM w),
+often AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS k FROM win),
+again AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest([i, i + 1, i + 2]) AS p FROM often WHERE k >= 2) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(again.n, 0) > 50 * len(ws) AS base_failed
+FROM w LEFT JOIN again ON again.r = w.r
+"""
+
+
+@_query("quality_base_counts", QUALITY_BASE_SQL)
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = quality_rules.document_counts(_read(spark, sf_dir, "documents"))
+    return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.base_failed().alias("base_failed"))
+
+
+SECRET_BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, CAST(len(list_filter(regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS BIGINT) AS n_hex
+FROM d
+"""
+
+
+@_query("secret_base_counts", SECRET_BASE_SQL)
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_read(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+LENGTH_LIMITS_SQL = """
+WITH h AS (SELECT length(coalesce(text, '')) AS length, count(*) AS docs FROM documents GROUP BY 1),
+s AS (SELECT length, docs, length * docs AS tokens, coalesce(sum(docs) OVER above, 0) AS docs_longer, coalesce(sum(length * docs) OVER above, 0) AS tokens_longer, sum(docs) OVER () AS total_docs, sum(length * docs) OVER () AS total_tokens FROM h WINDOW above AS (ORDER BY length DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT CAST(length AS BIGINT) AS length, CAST(docs AS BIGINT) AS docs, CAST(tokens AS BIGINT) AS tokens, CAST(docs_longer AS BIGINT) AS docs_longer, CAST(tokens_longer AS BIGINT) AS tokens_longer, CAST(total_docs AS BIGINT) AS total_docs, CAST(total_tokens AS BIGINT) AS total_tokens,
+  CAST(total_tokens - tokens_longer + length * docs_longer AS BIGINT) AS truncated_tokens, CAST(total_docs - docs_longer AS DOUBLE) / CAST(total_docs AS DOUBLE) AS quantile FROM s
+"""
+
+
+@_query("limits_of_character_lengths", LENGTH_LIMITS_SQL)
+def length_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit table of ``op9`` over lengths that SQL can take: characters."""
+    lengths = _read(spark, sf_dir, "documents").groupBy(F.length(F.coalesce("text", F.lit(""))).cast("long").alias("length")).agg(F.count(F.lit(1)).alias("docs"))
+    return token_counts.limit_table(lengths)
