@@ -509,9 +509,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     # Lists with the same members at the same places (by 128 bits) say the same; one of them is enough.
     open_lists = materialize(mixed.groupBy("k", "x", "y", "lo", "hi").agg(F.min("key").alias("key")).select("key", "k"), "join-open")
     fields = "key long, sid long, n long, place long, root long"
-    short = hung.join(open_lists.where(F.col("k") <= BLOCK), "key").select("key", "sid", "n", "place", "root").repartition("key").sortWithinPartitions("key")
+    # Where the open lists are few, members are picked in place and no list meets by key before it is cut.
+    few, many = (broadcast_if_small(open_lists.where(c)) for c in (F.col("k") <= BLOCK, F.col("k") > BLOCK))
+    short = hung.join(few, "key").select("key", "sid", "n", "place", "root").repartition("key").sortWithinPartitions("key")
     members = short.mapInArrow(_open_members, fields).withColumn("side", F.lit(0).cast("long"))
-    members = members.unionByName(_blocks(hung.join(open_lists.where(F.col("k") > BLOCK), "key").select("key", "k", "sid", "n", "place", "root")))
+    members = members.unionByName(_blocks(hung.join(many, "key").select("key", "k", "sid", "n", "place", "root")))
     members = members.join(by_set.select("sid", "sketch"), "sid").select("key", "sid", "n", "place", "root", "side", "sketch")
     rest = members.repartition("key").sortWithinPartitions("key").mapInArrow(_scan, "a long, b long").distinct()
     rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "join-rest")
