@@ -9,7 +9,8 @@ keep no state between them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -28,6 +29,21 @@ IS_WORD[_SPACE] = False
 IS_HEAD = (np.arange(256) & 0xC0) != 0x80
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator]) -> Callable[[Iterator[pa.RecordBatch]], Iterator]:
+    """``run``, after which the worker gives back what memory it no longer uses: workers outlive their tasks, and what one step freed would count against the next."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     x = x.astype(np.uint64, copy=True)

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from panelwright.llm._text import tidy
+
 #: Edits allowed per character of an item.
 MAX_ERROR = 0.06
 #: Characters of items that a task searches for at a time; it goes over its documents slab by slab, block by block.
@@ -216,7 +218,7 @@ def matches(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text:
             at, ids, distance, end = zip(*rows, strict=True) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids, id_kind), pa.array(distance, pa.int32()), pa.array(end, pa.int64())], names=["doc_id", "item_id", "distance", "end"])
 
-    return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, end long")
+    return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(tidy(run), f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, end long")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_error: float = MAX_ERROR) -> DataFrame:
@@ -227,4 +229,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text",
         for batch, found in _searched(batches, at, blocks, max_error):
             yield batch.filter(pa.array([not x for x in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema) if blocks else docs
+    return docs.mapInArrow(tidy(run), docs.schema) if blocks else docs

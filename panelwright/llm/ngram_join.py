@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm._storage import broadcast_if_small, largest, materialize
-from panelwright.llm._text import Hasher, mix, ngrams, slices, spans
+from panelwright.llm._text import Hasher, mix, ngrams, slices, spans, tidy
 from panelwright.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -447,10 +447,10 @@ def _verify(docs: DataFrame, by_set: DataFrame, pairs: DataFrame, draw: int) ->
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     wanted = materialize(nodes.join(by_set.select("sid", "doc"), "sid").select(F.col("doc").alias("__doc")).distinct(), "join-wanted")
     text = docs.join(broadcast_if_small(wanted, _BROADCAST_IDS), F.col("doc_id") == F.col("__doc"), "left_semi").select("text")
-    sets = text.mapInArrow(_sets(draw), "sid long, grams binary").groupBy("sid").agg(F.first("grams").alias("grams"))
+    sets = text.mapInArrow(tidy(_sets(draw)), "sid long, grams binary").groupBy("sid").agg(F.first("grams").alias("grams"))
     left = pairs.join(sets.select(F.col("sid").alias("a"), F.col("grams").alias("x")), "a")
     both = left.join(sets.select(F.col("sid").alias("b"), F.col("grams").alias("y")), "b")
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), "join-links")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(tidy(_linked), "a long, b long"), "join-links")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -467,7 +467,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     for draw in range(_DRAWS):
-        described = materialize(docs.mapInArrow(_describe(draw), "kind byte, a long, b long, c long, other long, sketch binary"), "join-sets")
+        described = materialize(docs.mapInArrow(tidy(_describe(draw)), "kind byte, a long, b long, c long, other long, sketch binary"), "join-sets")
         rows = described.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sid"), F.col("c").alias("n_shingles"), "other", "sketch")
         known = rows.where("doc_id is not null and n_shingles > 0")
         by_set = materialize(known.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"), (F.min("other") != F.max("other")).alias("mixed")), "join-distinct")
@@ -488,9 +488,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     light = boundary({r["size"]: r["sets"] for r in few if r["size"] <= LIGHT_MAX}, scan)
 
     post = _postings(light, frequent, times, draw)
-    postings = docs.where("doc_id is not null").select("text").mapInArrow(post, "key long, sid long, n int, place int, part int")
+    postings = docs.where("doc_id is not null").select("text").mapInArrow(tidy(post), "key long, sid long, n int, place int, part int")
     listed = postings.repartition("key", "part").sortWithinPartitions("key", "part", "sid")
-    lists = materialize(listed.mapInArrow(_lists, "key long, sid long, n long, place long"), "join-lists")
+    lists = materialize(listed.mapInArrow(tidy(_lists), "key long, sid long, n long, place long"), "join-lists")
 
     shared = lists.groupBy("sid").agg(F.count(F.lit(1)).alias("lists"))
     hubs = lists.join(shared, "sid").groupBy("key").agg(F.max(F.struct("lists", "sid", "n", "place")).alias("h"))
@@ -499,7 +499,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     pairs = near.select(F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b")).distinct()
     side = lambda c: by_set.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     drawn = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
-    pairs = materialize(drawn.mapInArrow(_near, "a long, b long"), "join-near")
+    pairs = materialize(drawn.mapInArrow(tidy(_near), "a long, b long"), "join-near")
     links = _verify(docs, by_set, pairs, draw)
     roots = components(links)
 
@@ -512,10 +512,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     # Where the open lists are few, members are picked in place and no list meets by key before it is cut.
     few, many = (broadcast_if_small(open_lists.where(c)) for c in (F.col("k") <= BLOCK, F.col("k") > BLOCK))
     short = hung.join(few, "key").select("key", "sid", "n", "place", "root").repartition("key").sortWithinPartitions("key")
-    members = short.mapInArrow(_open_members, fields).withColumn("side", F.lit(0).cast("long"))
+    members = short.mapInArrow(tidy(_open_members), fields).withColumn("side", F.lit(0).cast("long"))
     members = members.unionByName(_blocks(hung.join(many, "key").select("key", "k", "sid", "n", "place", "root")))
     members = members.join(by_set.select("sid", "sketch"), "sid").select("key", "sid", "n", "place", "root", "side", "sketch")
-    rest = members.repartition("key").sortWithinPartitions("key").mapInArrow(_scan, "a long, b long").distinct()
+    rest = members.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_scan), "a long, b long").distinct()
     rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "join-rest")
     if not rest.isEmpty():
         more = _verify(docs, by_set, rest, draw)

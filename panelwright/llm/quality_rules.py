@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm._storage import bounded_sample, broadcast_if_small, materialize
-from panelwright.llm._text import IS_HEAD, IS_WORD, Hasher, mix, ngrams, per_row, slices, spans
+from panelwright.llm._text import IS_HEAD, IS_WORD, Hasher, mix, ngrams, per_row, slices, spans, tidy
 
 #: Fixed values of the base contract.
 SYMBOLS = b"#*$%&|<>"
@@ -126,7 +126,7 @@ def document_counts(docs: DataFrame, *, text: str = "text", keep: Sequence[str]
 
     selected = docs.select(F.col(text).cast("string").alias("__text"), *keep)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in selected.select(names[: len(names) - len(COUNTS)]).schema] + [f"{c} long" for c in COUNTS])
-    return selected.mapInArrow(run, schema)
+    return selected.mapInArrow(tidy(run), schema)
 
 
 def base_failed(counts: dict[str, Column] | None = None) -> Column:
