@@ -6,6 +6,7 @@ import importlib.metadata
 import os
 import platform
 import re
+import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -13,7 +14,7 @@ from dataclasses import dataclass, fields, replace
 from typing import Any
 
 from panelwright.errors import ConfigurationError, PluginError
-from panelwright.result import Evidence, Metadata
+from panelwright.result import Evidence, Finding, Metadata, Severity, State
 
 PROTOCOL = 1
 GROUPS = ("adapters", "audit_rules", "cost_models", "methods", "report_sections")
@@ -91,13 +92,33 @@ def activate_plugin(group: str, name: str) -> Any:
 
 
 def diagnose_installation(spark: Any = None) -> Evidence:
-    """Versions of what a run depends on."""
-    versions = {}
-    for name in ("pyspark", "pyarrow", "pandas", "numpy", "duckdb"):
+    """Whether an installation, and a session if given, can carry a run: one finding a check, and the versions."""
+    versions: dict[str, str | None] = {}
+    for name in ("pyspark", "pyarrow", "pandas", "numpy", "duckdb", "plotly"):
         try:
             versions[name] = importlib.metadata.version(name)
         except importlib.metadata.PackageNotFoundError:
             versions[name] = None
+    number = lambda v: int(re.match(r"\d+", v or "0").group())
+    checks = [
+        ("PYTHON_VERSION", sys.version_info >= (3, 11), State.FAIL, f"Python {platform.python_version()}."),
+        ("PYSPARK_VERSION", number(versions["pyspark"]) >= 4, State.FAIL, f"pyspark {versions['pyspark']}."),
+        *[(f"{n.upper()}_PRESENT", versions[n] is not None, State.FAIL, f"{n} {versions[n]}.") for n in ("pyarrow", "pandas", "numpy")],
+        *[(f"{n.upper()}_PRESENT", versions[n] is not None, State.WARN, f"{n} {versions[n]}, which is optional.") for n in ("duckdb", "plotly")],
+    ]
     if spark is not None:
-        versions |= {"java": spark.sparkContext._jvm.System.getProperty("java.version"), "spark": spark.version, "ansi": spark.conf.get("spark.sql.ansi.enabled"), "master": spark.sparkContext.master}
-    return Evidence(Metadata("diagnostics.installation"), {"python": platform.python_version(), "missing": sum(v is None for v in versions.values())}, (), {"versions": [{"name": k, "version": v} for k, v in versions.items()]})
+        conf, master = spark.conf.get, spark.sparkContext.master
+        versions |= {"java": spark.sparkContext._jvm.System.getProperty("java.version"), "spark": spark.version, "ansi": conf("spark.sql.ansi.enabled"), "master": master}
+        local = master == "local" or master.startswith("local[")
+        shared = conf("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        checks += [
+            ("JAVA_VERSION", number(versions["java"]) >= 17, State.FAIL, f"Java {versions['java']}."),
+            ("SPARK_VERSIONS_AGREE", spark.version == versions["pyspark"], State.FAIL, f"Spark {spark.version}, pyspark {versions['pyspark']}."),
+            ("TIME_ZONE", conf("spark.sql.session.timeZone") == "UTC", State.WARN, f"Times are shown in {conf('spark.sql.session.timeZone')}."),
+            ("ADAPTIVE_PLANS", conf("spark.sql.adaptive.enabled") == "true", State.WARN, "Skewed joins need adaptive plans."),
+            ("SHARED_FOLDER", local or bool(shared), State.FAIL, "spark.checkpoint.dir is set." if shared else "spark.checkpoint.dir is not set."),
+        ]
+    findings = tuple(Finding(code, code.replace("_", " ").lower(), message, State.PASS if good else bad, Severity.INFO if good else Severity.HIGH if bad == State.FAIL else Severity.LOW, "operational") for code, good, bad, message in checks)
+    count = lambda s: sum(f.state == s for f in findings)
+    metrics = {"python": platform.python_version(), "missing": sum(v is None for v in versions.values()), "check_count": len(findings), "failed_checks": count(State.FAIL), "warned_checks": count(State.WARN), "usable": not count(State.FAIL)}
+    return Evidence(Metadata("diagnostics.installation"), metrics, findings, {"versions": [{"name": k, "version": v} for k, v in versions.items()]})

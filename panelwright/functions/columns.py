@@ -40,12 +40,6 @@ def average_rank(value: str | Column, by: Sequence[str]) -> Column:
     return F.rank().over(ordered) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0)
 
 
-def ordinal(by: Sequence[str], *order: str | Column) -> Column:
-    return F.row_number().over(Window.partitionBy(*by).orderBy(*[col(c) for c in order]))
-
-
-def group_size(by: Sequence[str]) -> Column:
-    return F.count(F.lit(1)).over(Window.partitionBy(*by))
 
 
 def pearson(x: str | Column, y: str | Column) -> Column:
@@ -64,12 +58,3 @@ def sharpe(x: str | Column, annualization: float = 1.0) -> Column:
 
 def herfindahl(share: str | Column) -> Column:
     return F.sum(F.pow(col(share), 2))
-
-
-def count_true(c: Column) -> Column:
-    return F.count_if(F.coalesce(c, F.lit(False)))
-
-
-def linear_percentile(x: str | Column, q: float) -> Column:
-    """Exact percentile with linear interpolation between order statistics."""
-    return F.percentile(col(x), F.lit(q))

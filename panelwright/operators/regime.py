@@ -2,43 +2,33 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from math import sqrt
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright import contracts as C
 from panelwright.errors import DataContractError, MethodContractError
-from panelwright.functions.columns import average_rank, missing, pearson
+from panelwright.functions.columns import missing, pearson
 from panelwright.result import Evidence, Finding, FrameResult, Metadata, Severity, State
 
-#: Rows up to which the running quantiles stay a Spark window; beyond, the frame is swept once in one task.
-WINDOW_ROWS = 20_000
+#: Rows of a regime series; longer ones should be aggregated to periods first.
+MAX_ROWS = 500_000
 
 
 def threshold_frame(data: DataFrame, *, method: str, lower: float, upper: float, time: str = "time", value: str = "value", min_history: int = 20, window: int | None = None) -> DataFrame:
-    """``threshold_lower, threshold_upper, history_count`` from observations strictly before each row.
+    """``threshold_lower, threshold_upper, history_count`` from observations strictly before each row, or from all where they are declared retrospective.
 
-    A regime series is one aggregated series, so its single ordered window is
-    over periods and not over a panel.
+    A regime series is one aggregated series of at most ``MAX_ROWS`` periods,
+    never a panel.  It is swept once in time order by one task, which keeps the
+    history sorted, so every row costs two look-ups and one insertion.
     """
-    x = F.when(~missing(value), F.col(value).cast("double"))
-    w = Window.orderBy(time)
     if method == "retrospective":
-        frame = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    else:
-        frame = w.rowsBetween(-window if method == "rolling" else Window.unboundedPreceding, -1)
-    n = F.count(x).over(frame)
-    need = 1 if method == "retrospective" else min_history
-    q = lambda p: F.when(n >= need, F.percentile(x, F.lit(p)).over(frame))
-    return data.withColumns({"threshold_lower": q(lower), "threshold_upper": q(upper), "history_count": n})
-
-
-def swept_thresholds(data: DataFrame, *, method: str, lower: float, upper: float, time: str, value: str, min_history: int, window: int | None) -> DataFrame:
-    """The same for long series: sorted history kept incrementally, one pass."""
-    from bisect import bisect_left, insort
+        x = F.when(~missing(value), F.col(value).cast("double"))
+        whole = Window.partitionBy()
+        return data.withColumns({"threshold_lower": F.percentile(x, F.lit(lower)).over(whole), "threshold_upper": F.percentile(x, F.lit(upper)).over(whole), "history_count": F.count(x).over(whole)})
 
     def sweep(parts):
         pdf = pd.concat(list(parts), ignore_index=True).sort_values(time, kind="stable", ignore_index=True)
@@ -84,8 +74,8 @@ def quantile_regimes(data: DataFrame, *, method: str = "expanding", lower: float
     rows = data.count()
     if method == "fixed":
         out = data.withColumns({"threshold_lower": F.lit(float(lower)), "threshold_upper": F.lit(float(upper)), "history_count": F.lit(None).cast("long")})
-    elif rows > WINDOW_ROWS and method != "retrospective":
-        out = swept_thresholds(data, method=method, lower=lower, upper=upper, time=time, value=value, min_history=min_history, window=window)
+    elif rows > MAX_ROWS:
+        raise DataContractError(f"{rows} rows; aggregate to at most {MAX_ROWS} periods first")
     else:
         out = threshold_frame(data, method=method, lower=lower, upper=upper, time=time, value=value, min_history=min_history, window=window)
     out = label_frame(out, value).persist()
@@ -160,10 +150,3 @@ def regime_analysis(data: DataFrame, *, time: str = "time", regime: str = "regim
     metrics = {"row_count": c["rows"], "valid_outcomes": valid, "excluded_outcomes": c["missing"], "regime_count": len(rows), "unknown_rows": c["unknown"], "future_available_rows": c["late"], "total_outcome": sum(r["total"] for r in good), "total_absolute_outcome": sum(r["absolute_total"] for r in good), "top_regime": top and top["regime"], "top_absolute_outcome_share": top and top["absolute_share"], "top_observation_share": max((r["observation_share"] or 0 for r in good), default=None), "absolute_outcome_hhi": hhi}
     return Evidence(Metadata("regime.analysis", parameters={"classification_mode": classification_mode}), metrics, tuple(findings), {"conditional_evidence": table, "observations": data.select(time, regime, outcome).limit(100)})
 
-
-def rank_of(x: np.ndarray) -> np.ndarray:
-    return pd.Series(x).rank().to_numpy()
-
-
-def regime_ranks(data: DataFrame, regime: str = "regime", outcome: str = "outcome") -> DataFrame:
-    return data.withColumn("rank", average_rank(outcome, [regime]))

@@ -262,7 +262,3 @@ def decay(signal: DataFrame, labels: DataFrame, *, quantiles: int = 5, time: str
     metrics = {"n_horizons": panel.select("horizon").distinct().count(), "n_observations": counts["rows"] - counts["missing"]}
     return Evidence(Metadata("signal.decay", parameters={"quantiles": quantiles}), metrics, (), {"ic_decay": table, "ic_by_period_horizon": ic_frame(panel), "spread_by_period_horizon": bucket_frames(bucketed, top=quantiles)["spread"]})
 
-
-def hit_rate(panel: DataFrame, by: Sequence[str] = ("time",)) -> DataFrame:
-    """Share of pairs whose signs agree, per group."""
-    return panel.where(~(missing("x") | missing("y"))).groupBy(*by).agg(ratio(F.count_if(F.signum("x") == F.signum("y")), F.count(F.lit(1))).alias("hit_rate"))

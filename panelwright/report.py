@@ -9,6 +9,7 @@ import re
 import zipfile
 from collections.abc import Mapping
 from dataclasses import dataclass
+from fnmatch import fnmatchcase
 from pathlib import Path
 from typing import Any
 
@@ -62,18 +63,47 @@ def to_html(e: Evidence) -> str:
     return "".join(parts) + "</body></html>"
 
 
+#: Views of interactive reports: the methods that a view stands for, and the tables it shows.
+VIEWS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "event": (("events.*",), ("event_response", "event_coverage")),
+    "portfolio": (("signal.portfolio_projection*",), ("cohort_returns", "turnover", "exposure_reconciliation")),
+    "signal": (("signal.*", "labels.*"), ("ic_by_period", "ic_decay", "bucket_returns", "quantile_returns", "turnover_by_lag", "decay_fit")),
+    "audit": (("audit.*",), ("score_components", "finding_summary", "category_coverage", "evidence_requirements")),
+}
+
+
+def resolved_view(e: Evidence, view: str = "auto") -> str:
+    """The view asked for; ``auto`` takes the first whose methods the evidence, or what it was made from, follows."""
+    if view != "auto" and view not in VIEWS:
+        raise ReportError(f"a view is auto or one of {', '.join(VIEWS)}")
+    if view != "auto":
+        return view
+    methods = [e.metadata.method, *map(str, (e.metadata.parameters.get("result_methods") or {}).values())]
+    return next((name for name, (patterns, _) in VIEWS.items() if any(fnmatchcase(m, p) for m in methods for p in patterns)), "audit")
+
+
+def view_tables(e: Evidence, view: str = "auto") -> list[str]:
+    """Tables of the evidence that a view shows, in its order; all of them where it has none of these."""
+    wanted = [t for t in VIEWS[resolved_view(e, view)][1] if t in e.tables]
+    return wanted or list(e.tables)
+
+
 def to_plotly_html(e: Evidence, view: str = "auto") -> str:
-    """Interactive charts of the numeric columns of each table, where plotly is installed."""
+    """Interactive charts of the tables of a view, where plotly is installed: bars by label where a table has one, lines otherwise."""
+    chosen, names = resolved_view(e, view), view_tables(e, view)
     try:
         import plotly.graph_objects as go
     except ImportError as error:
         raise ReportError("plotly is not installed") from error
     parts = []
-    for name in e.tables:
+    for name in names:
         rows = _shown(e, name)
-        numeric = [k for k in (rows[0] if rows else {}) if all(isinstance(r.get(k), int | float | None) for r in rows)]
-        figure = go.Figure([go.Scatter(y=[r.get(k) for r in rows], name=k) for k in numeric])
-        figure.update_layout(title=f"{view}: {name}")
+        columns = list(rows[0]) if rows else []
+        numeric = [k for k in columns if all(isinstance(r.get(k), int | float | None) and not isinstance(r.get(k), bool) for r in rows)]
+        label = next((k for k in columns if k not in numeric), None)
+        x = [str(r.get(label)) for r in rows] if label else None
+        figure = go.Figure([(go.Bar if label else go.Scatter)(x=x, y=[r.get(k) for r in rows], name=k) for k in numeric])
+        figure.update_layout(title=f"{chosen}: {name}")
         parts.append(figure.to_html(include_plotlyjs=not parts, full_html=False))
     return "<!DOCTYPE html><html><body>" + "".join(parts) + "</body></html>"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
@@ -60,20 +62,36 @@ def summary(df: DataFrame) -> dict:
     return {"columns": df.columns, "types": [f.dataType.simpleString() for f in df.schema], "lazy": True, "source_type": "spark"}
 
 
-def from_duckdb(relation: Any, spark: SparkSession, *, required: Iterable[str] = ()) -> FrameResult:
-    """An executed relation by way of Arrow; no SQL is written or read."""
-    for name in ("to_arrow_table", "arrow", "fetch_arrow_table"):
-        if hasattr(relation, name):
-            table = getattr(relation, name)()
-            break
-    else:
+def from_duckdb(relation: Any, spark: SparkSession, *, required: Iterable[str] = (), batch_size: int = 100_000, spool: str | None = None) -> FrameResult:
+    """An executed relation by way of Arrow batches; no SQL is written or read.
+
+    With ``spool``, a folder that the session reads too, each batch becomes a
+    Parquet file there and the driver holds one batch at a time; without it,
+    the relation has to fit the driver.
+    """
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    if batch_size < 1:
+        raise DataContractError("batches must hold a row")
+    read = next((getattr(relation, name) for name in ("to_arrow_reader", "fetch_record_batch") if hasattr(relation, name)), None)
+    if read is None:
         raise DataContractError("not a relation")
-    if hasattr(table, "read_all"):
-        table = table.read_all()
-    df = spark.createDataFrame(table)
+    reader = read(batch_size)
+    if spool is None:
+        table = reader.read_all()
+        df, rows = spark.createDataFrame(table), table.num_rows
+    else:
+        folder, rows = f"{spool.rstrip('/')}/relation-{uuid.uuid4().hex}", 0
+        os.makedirs(folder)
+        for k, batch in enumerate(reader):
+            pq.write_table(pa.Table.from_batches([batch]), f"{folder}/part-{k:06d}.parquet")
+            rows += batch.num_rows
+        pq.write_table(reader.schema.empty_table(), f"{folder}/part-schema.parquet")
+        df = spark.read.parquet("file://" + os.path.abspath(folder))
     C.require_columns(df, required, "relation")
-    rows = [{"column": f.name, "type": f.dataType.simpleString()} for f in df.schema]
-    return FrameResult(df, Evidence(Metadata("adapters.duckdb_arrow"), {"column_count": len(rows), "row_count": table.num_rows}, (), {"columns": rows}))
+    columns = [{"column": f.name, "type": f.dataType.simpleString()} for f in df.schema]
+    return FrameResult(df, Evidence(Metadata("adapters.duckdb_arrow", parameters={"batch_size": batch_size, "spooled": spool is not None}), {"column_count": len(columns), "row_count": rows}, (), {"columns": columns}))
 
 
 def mapped(data: DataFrame, columns: Mapping[str, str], required: Iterable[str], name: str) -> DataFrame:

@@ -90,12 +90,18 @@ def test_multiple_testing(spark, method, want):
 
 def test_regimes(spark):
     r = np.random.default_rng(2)
-    df = spark.createDataFrame([(k, float(v)) for k, v in enumerate(r.normal(size=80))], "time long, value double")
-    for method, window in (("expanding", None), ("rolling", 20)):
-        kw = {"method": method, "lower": 0.3, "upper": 0.7, "time": "time", "value": "value", "min_history": 10, "window": window}
-        a = regime.threshold_frame(df, **kw).orderBy("time").toPandas()
-        b = regime.swept_thresholds(df, **kw).orderBy("time").toPandas()
-        assert np.allclose(a["threshold_lower"].astype(float), b["threshold_lower"].astype(float), equal_nan=True) and (a["history_count"] == b["history_count"]).all()
+    x = r.normal(size=80)
+    x[[5, 40]] = np.nan
+    df = spark.createDataFrame([(k, None if v != v else float(v)) for k, v in enumerate(x)], "time long, value double")
+    for method, window in (("expanding", None), ("rolling", 20), ("retrospective", None)):
+        got = regime.threshold_frame(df, method=method, lower=0.3, upper=0.7, min_history=10, window=window).orderBy("time").toPandas()
+        for k, row in got.iterrows():
+            past = x if method == "retrospective" else x[max(0, k - window) : k] if window else x[:k]
+            past = past[~np.isnan(past)]
+            assert row["history_count"] == len(past)
+            want = np.quantile(past, [0.3, 0.7]) if method == "retrospective" or len(past) >= 10 else [np.nan, np.nan]
+            assert np.allclose([row["threshold_lower"], row["threshold_upper"]], want, equal_nan=True)
+    df = df.where("value is not null")
     found = regime.quantile_regimes(df, min_history=3)
     assert found.evidence.metrics["unknown_rows"] == 3
     out = spark.createDataFrame([(k, "ordinary" if k < 10 else "rare", 1.0 if k < 10 else 10.0) for k in range(12)], "time long, regime string, outcome double")
@@ -216,6 +222,32 @@ def test_multiple_testing_of_a_registry(spark):
     book.close()
 
 
+def test_views_choose_tables():
+    from panelwright.result import Metadata
+
+    e = Evidence(Metadata("signal.decay"), {}, (), {"other": [], "ic_decay": [{"horizon": "1D", "mean_ic": 0.1}]})
+    assert report.resolved_view(e) == "signal" and report.view_tables(e) == ["ic_decay"] and report.view_tables(e, "event") == ["other", "ic_decay"]
+    assert report.resolved_view(audit.audit(results={"w": Evidence(Metadata("events.event_windows"), {})})) == "event" and report.resolved_view(audit.audit()) == "audit"
+    with pytest.raises(ReportError):
+        report.resolved_view(e, "pie")
+
+
+def test_diagnostics_have_states(spark):
+    from panelwright.config import diagnose_installation
+
+    found = diagnose_installation(spark)
+    assert found.metrics["usable"] and found.metrics["check_count"] == len(found.findings) == 12 and "SHARED_FOLDER" in found.codes()
+
+
+def test_duckdb_batches_are_spooled(spark, tmp_path):
+    import duckdb
+
+    got = io.from_duckdb(duckdb.sql("SELECT range AS x, range % 3 AS y FROM range(5000)"), spark, required=["x"], batch_size=2048, spool=str(tmp_path))
+    assert got.evidence.metrics["row_count"] == 5000 and got.frame.agg({"x": "sum"}).collect()[0][0] == 5000 * 4999 // 2
+    assert len(list(tmp_path.rglob("part-*.parquet"))) == 4
+    assert io.from_duckdb(duckdb.sql("SELECT 1 AS x WHERE false"), spark, spool=str(tmp_path)).frame.count() == 0
+
+
 def test_addresses_lose_their_credentials():
     got = report.redacted({"a": "see https://me:pw@host.example/x/y?token=1#z and s3://bucket/k", "url": ["ftp://u@h/p"]})
     assert got == {"a": "see https://host.example/x/y and s3://bucket/k", "url": ["ftp://h/p"]}
