@@ -63,7 +63,8 @@ class BucketSpec:
 
 def _above(position: Column, interior: Sequence[float]) -> Column:
     """1 plus the number of interior boundaries at or below ``position``."""
-    return reduce(lambda a, b: a + b, [(position >= b).cast("int") for b in interior], F.lit(1))
+    bounds = F.array(*[F.lit(float(b)) for b in interior]) if interior else F.array().cast("array<double>")
+    return F.lit(1) + F.size(F.filter(bounds, lambda b: position >= b))
 
 
 def _side(x: Column, at: float, equal_to: str) -> Column:

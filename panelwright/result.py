@@ -20,6 +20,8 @@ from panelwright.errors import DataContractError
 
 SCHEMA_VERSION = "1"
 
+# The names of states and severities, and below the field names of a document, which documents are exchanged by.
+
 
 class State(StrEnum):
     PASS = "PASS"
